@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .bpe import op9
+from .mixing import OP6_SQL, op6
+from .quality import op5
 from .simhash import op2
 
-QUERIES = {"op2_simhash": op2}
-SQL: dict[str, str] = {}
+QUERIES = {"op2_simhash": op2, "op5_quality_rules": op5, "op6_mixture": op6, "op9_bpe_roundtrip": op9}
+SQL: dict[str, str] = {"op6_mixture": OP6_SQL}
