@@ -3,9 +3,26 @@
 from __future__ import annotations
 
 from .bpe import op9
+from .epsilon_grid import op7
+from .language import op8
 from .mixing import OP6_SQL, op6
 from .quality import op5
+from .quotes import op1
+from .secrets import op4
 from .simhash import op2
+from .substrings import op3
+from .toxicity import op10
 
-QUERIES = {"op2_simhash": op2, "op5_quality_rules": op5, "op6_mixture": op6, "op9_bpe_roundtrip": op9}
+QUERIES = {
+    "op1_quote_linking": op1,
+    "op2_simhash": op2,
+    "op3_compact_windows": op3,
+    "op4_trigram_secrets": op4,
+    "op5_quality_rules": op5,
+    "op6_mixture": op6,
+    "op7_epsilon_grid": op7,
+    "op8_language_id": op8,
+    "op9_bpe_roundtrip": op9,
+    "op10_toxicity": op10,
+}
 SQL: dict[str, str] = {"op6_mixture": OP6_SQL}
