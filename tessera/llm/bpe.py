@@ -228,7 +228,7 @@ def encoded(df: DataFrame, text: str = "text", tokenizer: str | None = None, dec
             bpe = Bpe(tokenizer)
             for texts in batches:
                 ids = [bpe.encode(x or "") for x in texts]
-                yield pd.DataFrame({"ids": ids, "decoded": bpe.decode_all(ids) if decode else None})
+                yield pd.DataFrame({"ids": [np.array(x, np.int32) for x in ids], "decoded": bpe.decode_all(ids) if decode else None})
 
         fields = ["ids", "decoded"] if decode else ["ids"]
     return df.withColumn("__bpe", of(F.col(text))).withColumns({f: F.col(f"__bpe.{f}") for f in fields}).drop("__bpe")

@@ -143,14 +143,15 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         return None
     part = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, int(min(1.0, most / len(sizes) / n) * 1e6))])
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("binary")  # half precision: the sample is what the driver holds
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else x.astype(np.float32) for x in map(features, texts)])
+        return pd.Series([None if x is None else x.astype(np.float16).tobytes() for x in map(features, texts)])
 
-    drawn = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000)) < F.element_at(part, F.col("lang"))).select("lang", of("text").alias("x")).where("x is not null").toPandas()
-    if drawn.empty:
+    drawn = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000)) < F.element_at(part, F.col("lang"))).select("lang", of("text").alias("x")).where("x is not null").collect()
+    if not drawn:
         return None
-    return Hierarchy.fit(np.stack(drawn["x"].to_list()), drawn["lang"].to_numpy(object))
+    x = np.stack([np.frombuffer(r.x, np.float16) for r in drawn]).astype(np.float32)
+    return Hierarchy.fit(x, np.array([r.lang for r in drawn], object))
 
 
 def identified(df: DataFrame, model: Hierarchy | None, text: str = "text") -> DataFrame:

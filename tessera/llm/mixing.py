@@ -79,6 +79,12 @@ def mix(df: DataFrame, size: Column, key: str = "doc_id", source: str = "source"
     return sure.unionByName(out(rows.where(F.col("p") == at), extra))
 
 
+def repeated(df: DataFrame, text: str = "text", **how) -> DataFrame:
+    """``df`` mixed: every row as many times as mix() takes it, whole rows only, all columns as they were. Rows without words go."""
+    taken = mix(df, words_in(text), split_last=False, **how).where("taken > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))).select("row.*")
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Written first: the texts are read once.
     docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", words_in("text").alias("size")))

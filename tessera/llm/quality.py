@@ -94,18 +94,33 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "stratum", al
     return tested.withColumn("cutoff", best / grid).groupBy(stratum).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{r}_cutoff") for r in RULES])
 
 
-def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """(``key``, counts, shares, stratum, base_failed, kept) for every row of ``df``: base rules, then the cutoffs of its stratum.
+def _measured(df: DataFrame, text: str, stratum: str, *more: Column) -> DataFrame:
+    """Counts of each row; nothing of ``df`` comes along but ``more``, so that its columns' names can't clash with the counts'."""
+    return counts(df.select(*more, F.col(text).alias("text"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"))).drop("text")
 
-    The stratum of a null is the empty string's. A null ``key`` has no label; its row is judged like any other. Repeated rows stay.
-    """
-    measured = cut(counts(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"))).drop("text"))
-    # Written first, so that its size is known: small ones are broadcast, others joined by shuffle.
-    limits = cut(cutoffs(measured, labels))
+
+def _verdict(measured: DataFrame, limits: DataFrame) -> DataFrame:
     rejects = F.lit(False)
     for r in RULES:
         rejects = rejects | F.coalesce(F.col(r) >= F.col(f"{r}_cutoff"), F.lit(False))
-    return measured.join(limits, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejects).drop(*[f"{r}_cutoff" for r in RULES]).withColumnRenamed("doc_id", key)
+    return measured.join(limits, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejects).drop(*[f"{r}_cutoff" for r in RULES])
+
+
+def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+    """(``key``, counts, shares, stratum, base_failed, kept) for every row of ``df``: base rules, then the cutoffs of its stratum.
+
+    The stratum of a null is the empty string's. A null ``key`` has no label; its row is judged like any other. Repeated rows
+    stay. An empty table gives an empty one; without labels only the base rules reject.
+    """
+    measured = cut(_measured(df, text, stratum, F.col(key).alias("doc_id")))
+    # Limits are written first, so that their size is known: small ones are broadcast, others joined by shuffle.
+    return _verdict(measured, cut(cutoffs(measured, labels))).withColumnRenamed("doc_id", key)
+
+
+def keep(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+    """The rows of ``df`` that judge() keeps, all columns as they were. Texts are measured twice rather than shuffled."""
+    limits = cut(cutoffs(cut(_measured(df, text, stratum, F.col(key).alias("doc_id"))), labels))
+    return _verdict(_measured(df, text, stratum, F.struct(*df.columns).alias("row")), limits).where("kept").select("row.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,23 +25,40 @@ NAMES = ("seed", "learned", "both_log", "distinct_log", "share_of_hits", "near_y
 #: Words around a word of abuse within which one of address counts.
 NEAR = 5
 
-#: Bounds of the training sample: rows of either label. Learned words, and the labelled documents that must have one.
-TRAIN_ROWS, LEARNED, SUPPORT = 4000, 200, 8
+#: Bounds of the training sample: rows of either label. Learned stems, and the labelled documents that must have one.
+TRAIN_ROWS, LEARNED, SUPPORT = 4000, 400, 6
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def features(text: str | None, learned: dict[str, float]) -> tuple[float, ...]:
+def stems(word: str) -> list[str]:
+    """What is learned of a word: itself and its beginnings of 4 to 8 letters, with a star, as abuse is inflected and compounded."""
+    return [word, *(word[:k] + "*" for k in range(4, min(9, len(word))))]
+
+
+class Lexicon(dict):
+    """Learned stems with their log-odds; a word weighs as its heaviest stem, 0 if none is known."""
+
+    def __init__(self, known: dict[str, float]):
+        super().__init__(known)
+        self.begins = {k[:4] for k in known}
+
+    def weight(self, word: str) -> float:
+        return max(map(self.get, stems(word), [0.0] * 6), default=0.0) if word[:4] in self.begins else 0.0
+
+
+def features(text: str | None, learned: Lexicon) -> tuple[float, ...]:
     """NAMES of a whole text: densities by word or character, counts as logarithms. All 0 for a text without words or characters."""
     text = text or ""
     words = words_of(text)
     n, chars = max(1, len(words)), max(1, len(text))
     seed = [i for i, w in enumerate(words) if w in ABUSE]
-    known = [i for i, w in enumerate(words) if w in learned]
+    begins = learned.begins
+    weights = {i: v for i, w in enumerate(words) if w[:4] in begins and (v := learned.weight(w))}
     you = [i for i, w in enumerate(words) if w in YOU]
-    hits = sorted({*seed, *known})
+    hits = sorted({*seed, *weights})
     near = 0
     if hits and you:
         at, to = np.array(you), np.array(hits)
@@ -50,9 +67,9 @@ def features(text: str | None, learned: dict[str, float]) -> tuple[float, ...]:
     hidden = 0
     for x in mixed:
         plain = x.lower().translate(LEET)
-        hidden += any(w in ABUSE or w in learned for w in (*WORD.findall(plain), re.sub(r"[\W\d_]", "", plain)))
+        hidden += any(w in ABUSE or learned.weight(w) for w in (*WORD.findall(plain), re.sub(r"[\W\d_]", "", plain)))
     upper = sum(map(len, SHOUT.findall(text)))
-    weight = sum(learned[words[i]] for i in known)
+    weight = sum(weights.values())
     return (len(seed) / n, weight / n, float(np.log1p(len(hits) + hidden)), float(np.log1p(len({words[i] for i in hits}))), len(hits) / n, near / n, len(you) / n, sum(map(str.isupper, text)) / chars if upper else 0.0, upper / chars, len(MARKS.findall(text)) / n, len(mixed) / n, hidden / n, float(np.log1p(len(words))))
 
 
@@ -130,7 +147,7 @@ def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.n
 
 @dataclass
 class Model:
-    learned: dict[str, float]
+    learned: Lexicon
     boosted: Boosted
     knots: tuple[np.ndarray, np.ndarray]
 
@@ -143,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model | N
     """A model of labelled documents (doc_id, text; doc_id, toxic), at most about ``most`` of either label, drawn by a hash of doc_id.
 
     Contradicting labels of one id count as toxic; rows with a null id or label aren't used. A third of the sample gives the
-    learned words (those in SUPPORT documents or more, by log-odds), a third the trees, a third the calibration, in which rows
+    learned stems (those in SUPPORT documents or more, by log-odds), a third the trees, a third the calibration, in which rows
     weigh as many as they were drawn from. None without rows of both labels.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -157,13 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model | N
     texts = docs.select("doc_id", "text").join(drawn, "doc_id")
 
     @F.pandas_udf("array<string>")
-    def distinct_words(x: pd.Series) -> pd.Series:
-        return pd.Series([sorted({*words_of(t)}) for t in x])
+    def distinct_stems(x: pd.Series) -> pd.Series:
+        return pd.Series([sorted({s for w in {*words_of(t)} for s in stems(w)}) for t in x])
 
     both = {r.toxic: r["count"] for r in drawn.where("part = 0").groupBy("toxic").count().collect()}
-    per_word = texts.where("part = 0").select("toxic", F.explode(distinct_words("text")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    per_word = texts.where("part = 0").select("toxic", F.explode(distinct_stems("text")).alias("word")).groupBy("word").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
     odds = F.ln((F.col("pos") + 0.5) / (both.get(1, 0) + 1)) - F.ln((F.col("n") - F.col("pos") + 0.5) / (both.get(0, 0) + 1))
-    learned = {r.word: r.odds for r in per_word.select("word", odds.alias("odds")).where("odds > 1.5").orderBy(F.desc("odds"), "word").limit(LEARNED).collect()}
+    learned = Lexicon({r.word: r.odds for r in per_word.select("word", odds.alias("odds")).where("odds > 1.5").orderBy(F.desc("odds"), "word").limit(LEARNED).collect()})
 
     @F.pandas_udf("array<double>")
     def dense(x: pd.Series) -> pd.Series:
