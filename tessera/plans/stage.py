@@ -19,18 +19,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Whether the shuffle files of an execution go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: set[str] = set()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def _sweep() -> None:
     spark = SparkSession.getActiveSession()
     if spark is None:
         return
     try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in _written:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            _delete(spark, path)
     except Exception:  # the JVM may be gone by now; the folder then stays
         pass
 
@@ -41,10 +47,27 @@ atexit.register(_sweep)
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder: no lineage, survives lost executors, and its size is known to the planner.
 
-    The files stay until the application ends, as the plans that read them are lazy.
+    Shuffle files that made it are removed then, not when the driver happens to collect its garbage. The table's files stay until
+    the application ends, as the plans that read them are lazy.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written.add(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables from cut() that nothing will read any more."""
+    for df in tables:
+        path = df.__dict__.pop("_cut_path", None)
+        if path in _written:
+            _written.discard(path)
+            _delete(df.sparkSession, path)

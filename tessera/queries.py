@@ -261,10 +261,10 @@ def event_cumsum(spark, sf_dir):
     return api.cumsum(t).df.select("i0", r(F.col("v"), 4).alias("cumsum")).join(api.cumprod(t.map(lambda v: 1 + v / 1e7)).df.select("i0", r(F.col("v"), 9).alias("cumprod")), "i0")
 
 
-@query(f"SELECT i AS i0, round(lead(x) OVER w - x, 6) AS d1, round(lead(x, 2) OVER w - 2 * lead(x) OVER w + x, 6) AS d2 FROM {_E} WINDOW w AS (ORDER BY i) QUALIFY lead(x) OVER w IS NOT NULL")
+@query(f"SELECT i AS i0, round(lead(x) OVER w - x, 6) AS d1, round(lead(x, 2) OVER w - 2 * lead(x) OVER w + x, 6) AS d2 FROM {_E} WINDOW w AS (ORDER BY i) QUALIFY lead(x, 2) OVER w IS NOT NULL")
 def event_diff(spark, sf_dir):
     t = _events(spark, sf_dir)
-    return api.diff(t).df.select("i0", r(F.col("v")).alias("d1")).join(api.diff(t, 2).df.select("i0", r(F.col("v")).alias("d2")), "i0", "left")
+    return api.diff(t).df.select("i0", r(F.col("v")).alias("d1")).join(api.diff(t, 2).df.select("i0", r(F.col("v")).alias("d2")), "i0")
 
 
 @query(f"SELECT i AS i0, round(CASE WHEN i = 0 THEN lead(x) OVER w - x WHEN i = n - 1 THEN x - lag(x) OVER w ELSE 0.5::DOUBLE * lead(x) OVER w - 0.5::DOUBLE * lag(x) OVER w END, 6) AS v FROM {_E} WINDOW w AS (ORDER BY i)")

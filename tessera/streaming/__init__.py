@@ -1,0 +1 @@
+"""Nothing: the operations have no streaming semantics of their own, and column functions work on streams as they are."""
