@@ -1,64 +1,20 @@
-"""What the operators of this subpackage share: table access, cutting lineage and connected components."""
+"""What the operators of this subpackage share: table access, held-out rows and connected components."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stage import cut
+
 #: ASCII white space separates words; everything else, other Unicode spaces included, belongs to words.
 SPACE = r"[\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\f\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of this application's own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = kept.get() if kept.isDefined() else tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-_written: set[str] = set()
-
-
-def _sweep() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in _written:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-    except Exception:  # the JVM may be gone by now; the folder then stays
-        pass
-
-
-atexit.register(_sweep)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared folder: no lineage, survives lost executors, and its size is known to the planner.
-
-    The files stay until the application ends, as the plans that read them are lazy.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.add(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column | str) -> Column:
     """Whether crc32 of the id as text leaves remainder 0 on division by 5; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0, F.lit(False))
