@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op9
-from .epsilon_grid import op7
+from .epsilon_grid import OP7_SQL, op7
 from .language import op8
 from .mixing import OP6_SQL, op6
-from .quality import op5
-from .quotes import op1
-from .secrets import op4
+from .quality import OP5_SQL, op5
+from .quotes import OP1_SQL, op1
+from .secrets import op4, op4_sql
 from .simhash import op2
 from .substrings import op3
 from .toxicity import op10
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_bpe_roundtrip": op9,
     "op10_toxicity": op10,
 }
-SQL: dict[str, str] = {"op6_mixture": OP6_SQL}
+SQL: dict[str, str] = {"op1_quote_linking": OP1_SQL, "op4_trigram_secrets": op4_sql(), "op5_quality_rules": OP5_SQL, "op6_mixture": OP6_SQL, "op7_epsilon_grid": OP7_SQL}

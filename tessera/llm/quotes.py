@@ -118,4 +118,24 @@ def formatted(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formatted(table(spark, sf_dir, "conversations"))
+    """As formatted(), with -1 for no reply."""
+    return formatted(table(spark, sf_dir, "conversations")).withColumn("reply_to", F.coalesce("reply_to", F.lit(-1).cast("long")))
+
+
+_UNITS = r"list_distinct(list_filter(list_concat(list_transform(string_split_regex({0}, '\n\s*\n'), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), list_transform(string_split({0}, chr(10)), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g')))), lambda x: len(x) >= {1}))"
+
+#: SQL for op1: passages are compared themselves, threads walked link by link.
+OP1_SQL = rf"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS rid, conv_id, turn::BIGINT AS turn, role, string_split_regex(coalesce(text, ''), '\r?\n') AS ls FROM conversations),
+l AS (SELECT rid, conv_id, turn, i, len(regexp_replace(regexp_extract(ls[i], '{MARK}', 1), '[^>]', '', 'g')) AS level, regexp_replace(ls[i], '{MARK}', '') AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM m)),
+k AS (SELECT *, lead(level) OVER (PARTITION BY rid ORDER BY i) AS next FROM l),
+b AS (SELECT rid, regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (regexp_matches(line, '{WROTE}') AND coalesce(next, 0) > 0)), ''), '^\s+', ''), '\s+$', '') AS content FROM k GROUP BY rid),
+v AS (SELECT a.rid, a.conv_id, a.turn, a.level, string_agg(CASE WHEN l.level = a.level THEN l.line ELSE '' END, chr(10) ORDER BY l.i) AS t FROM (SELECT DISTINCT rid, conv_id, turn, level FROM l WHERE level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL) a JOIN l USING (rid) GROUP BY ALL),
+q AS (SELECT conv_id, turn, level, unnest({_UNITS.format("t", SHORT)}) AS unit FROM v),
+s AS (SELECT DISTINCT conv_id, turn, unnest({_UNITS.format("content", SHORT)}) AS unit FROM b JOIN m USING (rid)),
+f AS (SELECT q.conv_id, q.turn, q.level, q.unit, max(s.turn) AS source, count(DISTINCT s.turn) AS d FROM q JOIN s ON q.conv_id = s.conv_id AND q.unit = s.unit AND s.turn < q.turn GROUP BY ALL),
+p AS (SELECT conv_id, turn, arg_max(source, (-level, n, source)) AS reply_to FROM (SELECT conv_id, turn, level, source, sum(len(unit)) AS n FROM f GROUP BY ALL) GROUP BY ALL),
+r AS (SELECT conv_id, turn, reply_to AS root, 1 AS depth FROM p UNION ALL SELECT r.conv_id, r.turn, p.reply_to, depth + 1 FROM r JOIN p ON p.conv_id = r.conv_id AND p.turn = r.root),
+t AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth)::INT AS depth FROM r GROUP BY ALL)
+SELECT conv_id, turn, role, coalesce(reply_to, -1)::BIGINT AS reply_to, coalesce(root, turn) AS root, coalesce(depth, 0)::INT AS depth, content, '<|' || coalesce(role, 'user') || '|>' || chr(10) || content AS formatted FROM m JOIN b USING (rid) LEFT JOIN p USING (conv_id, turn) LEFT JOIN t USING (conv_id, turn)
+"""

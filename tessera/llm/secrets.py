@@ -192,3 +192,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda i: F.size(F.filter("spans", lambda x: x["rank"] == i)).cast("long")
     counts = [number(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     return found.select("doc_id", *counts, F.sha2(listed(F.filter("spans", lambda x: x["rank"] < base), rules), 256).alias("base_sha256"), listed(F.col("spans"), rules).alias("spans"))
+
+
+def op4_sql() -> str:
+    """SQL for op4: gaps and matches of each rule, places by sums of their lengths."""
+    each = []
+    for i, r in enumerate(BASE + MORE):
+        pattern = r.pattern.replace("'", "''")
+        start = "list_sum(list_transform(g[1:i], lambda x: len(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0)::BIGINT"
+        each.append(f"SELECT rid, {i} AS rank, '{r.kind}' AS kind, {start} AS s, {start} + len(m[i]) AS e FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT rid, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {r.group}) AS p FROM d WHERE regexp_matches(t, '{pattern}'))) WHERE len(p[i]) >= {r.least}")
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({" UNION ALL ".join(each)}),
+a AS (SELECT rid, {", ".join(f"count_if(rank = {i})::BIGINT AS n_{r.kind}" for i, r in enumerate(BASE))}, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < {len(BASE)}) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM s GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (rid)"""
