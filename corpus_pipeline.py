@@ -35,8 +35,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, intact): ids of the whole text, and whether they decode to it."""
-    done = bpe.encoded(docs.select("doc_id", "lang", "source", "text"), decode=True)
-    return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("intact"))
+    return bpe.encoded(docs.select("doc_id", "lang", "source", "text"), ("n_tokens", "ids", "intact"), keep_text=False)
 
 
 STAGES = [("quality_rules", quality_stage), ("near_dedup", dedup_stage), ("secret_scans", secrets_stage), ("mixing", mixing_stage), ("bpe", tokens_stage)]

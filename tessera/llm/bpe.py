@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from .common import table
 
@@ -46,23 +49,31 @@ class Bpe:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        path = path or public_tokenizers.path("byte_bpe_50k.json")
-        self.tokenizer, self.leaf = Tokenizer.from_file(path), leaf
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path, self.leaf = path or public_tokenizers.path("byte_bpe_50k.json"), leaf
         with open(ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
-        with open(path, encoding="utf-8") as spec:
+        with open(self.path, encoding="utf-8") as spec:
             self.special = {x["content"]: x["id"] for x in json.load(spec)["added_tokens"]}
-        self.bytes = {i: b for b, i in known.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.lengths = np.zeros(max(self.bytes) + 1, np.int64)
-        self.lengths[list(self.bytes)] = [len(b) for b in self.bytes.values()]
+        self.plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=self.special)
         if max(map(len, self.special), default=0) > MARGIN:
             raise ValueError("a special token is longer than the margin")
 
+    @cached_property
+    def tokenizer(self):
+        """Only loaded for texts that need it: it takes more memory than the rest of a worker."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        """Bytes of every token."""
+        return np.array([len(self.plain.decode_single_token_bytes(i)) for i in range(self.plain.n_vocab)], np.int64)
+
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """The library's ids of texts, each in one go. Latin text without special tokens takes the faster encoder of equal results."""
         hard = [i for i, x in enumerate(texts) if not (x.isascii() or max(x) < LATIN) or any(s in x for s in self.special)]
@@ -112,7 +123,7 @@ class Bpe:
 
     def decode_all(self, ids: list[list[int]]) -> list[str]:
         """As the library's decode(ids, skip_special_tokens=False): the tokens' bytes as UTF-8, what isn't valid replaced."""
-        return [b"".join(map(self.bytes.__getitem__, x)).decode("utf-8", "replace") for x in ids]
+        return [self.plain.decode_bytes(x).decode("utf-8", "replace") for x in ids]
 
 
 class _Node:
@@ -200,39 +211,43 @@ class _Node:
         return self._spliced(other, i, inner, j, np.concatenate((self.starts, other.starts[1:] + n)))
 
 
-def encoded(df: DataFrame, text: str = "text", tokenizer: str | None = None, decode: bool = False, digest: bool = False) -> DataFrame:
-    """``df`` with ``ids`` (array<int>) of ``text``, whole texts; null is encoded as an empty text, which has no ids.
+def _rows(bpe: Bpe, text: str | None, fields: tuple[str, ...]) -> tuple:
+    """What is asked for of one text; ids leave as a packed array, as lists of numbers of a whole batch would fill a worker."""
+    ids = bpe.encode(text or "")
+    decoded = bpe.decode_all([ids])[0] if {"decoded", "intact", "decoded_sha256"} & {*fields} else None
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    each = {"ids": lambda: np.array(ids, np.int32), "decoded": lambda: decoded, "intact": lambda: decoded == (text or ""), "n_tokens": lambda: len(ids), "ids_sha256": lambda: sha(",".join(map(str, ids))), "decoded_sha256": lambda: sha(decoded)}
+    return tuple(each[f]() for f in fields)
 
-    ``decode`` adds ``decoded``. ``digest`` gives n_tokens, ids_sha256 and decoded_sha256 instead of ids and text, so that those
-    aren't moved out of the worker. Columns of these names that ``df`` has are replaced. ``tokenizer`` is a file's path on every
-    executor; None for the installed byte_bpe_50k.json.
-    """
-    sha: Callable[[str], str] = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    if digest:
 
-        @F.pandas_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
-        def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            bpe = Bpe(tokenizer)
-            for texts in batches:
-                rows = []
-                for x in texts:
-                    ids = bpe.encode(x or "")
-                    rows.append((len(ids), sha(",".join(map(str, ids))), sha(bpe.decode_all([ids])[0])))
-                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+KINDS = {"ids": pa.list_(pa.int32()), "decoded": pa.string(), "intact": pa.bool_(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+#: Rows whose results are held before they leave the worker.
+HELD = 256
+
 
-        fields = ["n_tokens", "ids_sha256", "decoded_sha256"]
-    else:
+def encoded(df: DataFrame, fields: tuple[str, ...] = ("ids",), text: str = "text", tokenizer: str | None = None, keep_text: bool = True) -> DataFrame:
+    """``df`` with ``fields`` of ``text``, whole texts: ids, n_tokens, decoded (the ids' text), intact (whether that is the text), or digests.
+
+    A null is encoded as an empty text, which has no ids. Columns of the fields' names that ``df`` has are replaced; ``text``
+    itself stays unless ``keep_text`` is off. ``tokenizer`` is a file's path on every executor; None for the installed
+    byte_bpe_50k.json.
+    """
+    kept = [c for c in df.columns if c not in fields and (keep_text or c != text)]
+    schema = StructType([df.schema[c] for c in kept] + [StructField(f, from_arrow_type(KINDS[f])) for f in fields])
+    source = df.select(*kept, F.col(text).alias("__text"))
 
-        @F.pandas_udf("struct<ids: array<int>, decoded: string>")
-        def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            bpe = Bpe(tokenizer)
-            for texts in batches:
-                ids = [bpe.encode(x or "") for x in texts]
-                yield pd.DataFrame({"ids": [np.array(x, np.int32) for x in ids], "decoded": bpe.decode_all(ids) if decode else None})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = Bpe(tokenizer)
+        for batch in batches:
+            for i in range(0, len(batch), HELD):
+                part = batch.slice(i, HELD)
+                rows = [_rows(bpe, x, fields) for x in part.column(len(kept)).to_pylist()]
+                new = [pa.array([row[k] for row in rows], KINDS[f]) for k, f in enumerate(fields)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *new], names=[*kept, *fields])
 
-        fields = ["ids", "decoded"] if decode else ["ids"]
-    return df.withColumn("__bpe", of(F.col(text))).withColumns({f: F.col(f"__bpe.{f}") for f in fields}).drop("__bpe")
+    return source.mapInArrow(run, schema)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    fields = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), fields, keep_text=False)

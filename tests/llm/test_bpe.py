@@ -39,13 +39,13 @@ def test_long_unsplit_texts(seed):
 def test_round_trip_of_rows(spark):
     texts = [None, "", " ", "plain text", "<|endoftext|> é 漢 😀", "x" * 40_000, "ab " * 20_000, "�\u0000z"]
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "i long, text string, ids string")
-    out = encoded(df, decode=True).collect()
+    out = encoded(df, ("ids", "decoded", "intact")).collect()
     for x in out:
-        assert list(x.ids) == direct(texts[x.i] or "") and x.decoded == (texts[x.i] or "")
-    assert encoded(df.limit(0), digest=True).count() == 0
+        assert list(x.ids) == direct(texts[x.i] or "") and x.decoded == (texts[x.i] or "") and x.intact
+    assert encoded(df.limit(0)).count() == 0
     from hashlib import sha256
 
-    for x in encoded(df, digest=True).collect():
+    for x in encoded(df, ("n_tokens", "ids_sha256", "decoded_sha256")).collect():
         ids = direct(texts[x.i] or "")
         assert (x.n_tokens, x.ids_sha256) == (len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert x.decoded_sha256 == sha256(BPE.tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
