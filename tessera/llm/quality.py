@@ -120,9 +120,34 @@ def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 def keep(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """The rows of ``df`` that judge() keeps, all columns as they were. Texts are measured twice rather than shuffled."""
     limits = cut(cutoffs(cut(_measured(df, text, stratum, F.col(key).alias("doc_id"))), labels))
-    return _verdict(_measured(df, text, stratum, F.struct(*df.columns).alias("row")), limits).where("kept").select("row.*")
+    measured = _measured(df, text, stratum, F.struct(*df.columns).alias("row"))
+    # A generator of one row, below which no filter is pushed: else every condition would measure the texts anew.
+    measured = measured.select("row", "stratum", F.inline(F.array(F.struct("base_failed", *RULES))))
+    return _verdict(measured, limits).where("kept").select("row.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: SQL for op5; the terms of the binomial distribution come from the logarithm of the gamma function.
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+g AS (SELECT rid, i, w[i:i + 7] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) > 8)),
+r AS (SELECT rid, count(DISTINCT p)::BIGINT AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1) GROUP BY rid),
+l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+c AS (SELECT rid, doc_id, stratum, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, len(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, len(regexp_replace(t, '[^!]+', '', 'g')) AS n_bang FROM l LEFT JOIN r USING (rid)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN least(1.0::DOUBLE, n_symbols / word_chars) ELSE 0 END AS symbol_share, CASE WHEN n_lines > 0 THEN least(1.0::DOUBLE, n_dup_lines / n_lines) ELSE 0 END AS dup_line_share,
+  CASE WHEN n_words > 0 THEN least(1.0::DOUBLE, n_repeat_words / n_words) ELSE 0 END AS repeat_share, CASE WHEN word_chars > 0 THEN least(1.0::DOUBLE, n_upper / word_chars) ELSE 0 END AS upper_share, CASE WHEN n_words > 0 THEN least(1.0::DOUBLE, n_bang / n_words) ELSE 0 END AS bang_share FROM c),
+u AS (SELECT rid, doc_id, stratum, base_failed, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'upper_share', 'bang_share']) AS rule, unnest([symbol_share, dup_line_share, repeat_share, upper_share, bang_share]) AS share FROM f),
+h AS (SELECT u.*, k.quality, floor(share * 50)::INT AS bin FROM u JOIN (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) k USING (doc_id) WHERE NOT base_failed),
+n AS (SELECT stratum, rule, count_if(quality = 1)::DOUBLE AS n FROM h GROUP BY ALL),
+j AS (SELECT stratum, rule, n, j, coalesce((SELECT count_if(quality = 1) FROM h WHERE h.stratum = n.stratum AND h.rule = n.rule AND bin >= j), 0) AS good, coalesce((SELECT count_if(quality <> 1) FROM h WHERE h.stratum = n.stratum AND h.rule = n.rule AND bin >= j), 0) AS bad FROM n, (SELECT unnest(range(1, 51)) AS j)),
+p AS (SELECT *, CASE WHEN n = 0 THEN 1 ELSE list_sum(list_transform(range(0, good::BIGINT + 1), lambda k: exp(lgamma(n + 1) - (CASE WHEN k = 0 THEN 0 ELSE lgamma((k + 1)::DOUBLE) END) - (CASE WHEN k = n THEN 0 ELSE lgamma((n - k + 1)::DOUBLE) END) + k * ln(0.004::DOUBLE) + (n - k) * ln(0.996::DOUBLE)))) END AS cdf FROM j WHERE bad - 20 * good > 0),
+b AS (SELECT stratum, rule, arg_max(j, (bad - 20 * good, j)) / 50 AS cutoff FROM p WHERE cdf <= 0.05 / (5 * (SELECT count(DISTINCT stratum) FROM n)) GROUP BY ALL),
+x AS (SELECT DISTINCT rid FROM u JOIN b ON u.stratum = b.stratum AND u.rule = b.rule WHERE share >= cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.rid IS NULL AS kept FROM f LEFT JOIN x USING (rid)
+"""
