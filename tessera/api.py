@@ -72,11 +72,37 @@ def vectorize(f: Callable[..., float]) -> Callable[..., Tensor]:
     return lambda *tensors: elementwise(columns, *tensors)
 
 
+_session: dict[str, SparkSession] = {}
+
+
 def createBackend(spark: SparkSession | None = None) -> SparkSession:
     """The session that computes; there is one kind."""
     return spark or SparkSession.builder.getOrCreate()
 
 
+def setBackend(spark: SparkSession) -> None:
+    _session["now"] = spark
+
+
+def getBackend() -> SparkSession:
+    """The session that was set, or the active one."""
+    return _session.get("now") or createBackend()
+
+
+def beginBatch() -> None:
+    """Nothing: operations are recorded until an action anyway."""
+
+
+def endBatch(*tensors: Tensor) -> list[Tensor]:
+    """Tensors computed and written."""
+    return _shape.materializeAll(*tensors)
+
+
+def withBatch(f: Callable[[], Tensor]) -> Tensor:
+    """What ``f`` returns, computed as one query and written."""
+    return endBatch(f())[0]
+
+
 for _name in UNARY:
     globals()[_name] = _one(getattr(_ew, _name))
 for _name in BINARY:
