@@ -156,7 +156,11 @@ def _quantile(x: Column, q: float, method: str) -> Column:
 
 
 def quantile(x: ColumnLike, q: float, method: str = "linear") -> Column:
-    """By interpolation (linear), or the order statistic below, above, nearest (the lower of equals) or between both."""
+    """By interpolation (linear), or the order statistic below, above, nearest (the lower of equals) or between both.
+
+    Linear keeps counts by value; the others gather a group's values in order. For very large groups Tensor's sort() gives order
+    statistics by rank without gathering.
+    """
     return _quantile(num(x), q, method)
 
 
