@@ -9,8 +9,13 @@ from .common import cut, let, table
 
 MARK = r"^((?:[ \t]*>)+)[ \t]?"
 WROTE = r"(?i)^(on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*$"
-#: Characters of the shortest passage that links, once normalised.
+#: Characters of a passage, once normalised, from which it decides; shorter ones and excerpts tell where no such passage links.
 SHORT = 12
+#: What a passage is that links: an excerpt of one, a whole one that is shorter than SHORT, a whole one.
+EXCERPT, BRIEF, WHOLE = 0, 1, 2
+#: Characters by which excerpts are looked up, and those of words between spaces.
+GRAM = 4
+ALPHABET = r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{N}]"
 #: Turns looked through at a time for the last one with a passage.
 STEP = 256
 
@@ -43,15 +48,15 @@ def _normal(x: Column) -> Column:
 
 
 def units(text: Column) -> Column:
-    """Normalised passages of ``text``: its paragraphs, whatever their line breaks, and its lines; those of SHORT characters or more, each once."""
+    """Normalised passages of ``text``: its paragraphs, whatever their line breaks, and its lines; those that aren't empty, each once."""
     paragraphs = F.transform(F.split(text, r"\n\s*\n"), _normal)
     lines = F.transform(F.split(text, "\n"), _normal)
-    return F.array_distinct(F.filter(F.concat(paragraphs, lines), lambda x: F.length(x) >= SHORT))
+    return F.array_distinct(F.filter(F.concat(paragraphs, lines), lambda x: F.length(x) > 0))
 
 
 def _each(df: DataFrame, array: Column, *more: Column) -> DataFrame:
     each = df.select("conv", "turn", *more, F.explode(array).alias("unit"))
-    return each.select("conv", "turn", *[c for c in each.columns if c not in ("conv", "turn", "unit")], F.xxhash64("unit").alias("h"), F.hash("unit").alias("g"), F.length("unit").alias("n"))
+    return each.select("conv", "turn", *[c for c in each.columns if c not in ("conv", "turn", "unit")], F.xxhash64("unit").alias("h"), F.hash("unit").alias("g"), F.length("unit").alias("n"), "unit")
 
 
 def _last_before(quoted: DataFrame, said: DataFrame) -> DataFrame:
@@ -74,12 +79,29 @@ def _last_before(quoted: DataFrame, said: DataFrame) -> DataFrame:
     return quoted.join(cut(source), [*on, "turn"])
 
 
+def _excerpts(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Which messages have a passage of ``asked`` (conv, unit, h, g) as a part: (conv, turn, h, g).
+
+    Texts meet by the hashed characters that begin a passage, GRAM or all it has, at every place of a text, and the whole is compared
+    then. A part neither begins nor ends inside a word of an alphabet.
+    """
+    gram = lambda k: lambda i: F.xxhash64(F.substring(F.col("said"), i, F.lit(k)))
+    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("said") - k + 1, F.lit(1))), gram(k)) for k in range(1, GRAM + 1)]))
+    asked = asked.select("conv", "unit", "h", "g", F.xxhash64(F.substring("unit", 1, GRAM)).alias("gram")).distinct()
+    said = rows.join(asked.select("conv").distinct(), "conv", "left_semi").select("conv", "turn", _normal(F.col("own")).alias("said"))
+    each = said.select("conv", "turn", "said", F.explode(F.array_distinct(grams)).alias("gram"))
+    # Units are in lower case, so that none has the \\E that ends a quotation.
+    part = F.rlike("said", F.concat(F.lit(rf"(?<!{ALPHABET})\Q"), "unit", F.lit(rf"\E(?!{ALPHABET})")))
+    return each.join(asked, ["conv", "gram"]).where(F.contains("said", "unit") & part).select("conv", "turn", "h", "g").distinct()
+
+
 def replies(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """(conv, turn, reply_to): the earlier turn of the conversation that a message quotes most of, in characters; the later of equals.
 
     Quoted lines are parsed into levels. Passages at the least level that has a source tell: level 1 quotes the message that is
     answered, deeper ones what that one quoted. Every passage goes to the last message before that says it itself, outside
-    quotes, by hashes of the normalised text (96 bits). Messages with a null conversation or turn have no reply.
+    quotes, by hashes of the normalised text (96 bits). At a level, passages of SHORT characters decide, then shorter ones, then
+    parts of what a message says. Messages with a null conversation or turn have no reply.
     """
     rows = messages.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), parsed(F.col(text)).alias("lines")).withColumn("own", body(F.col("lines")))
     quoting = rows.where(F.exists("lines", lambda x: x["level"] > 0))
@@ -87,9 +109,13 @@ def replies(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text
     quoted = cut(_each(levels, units(_at(F.col("lines"), F.col("level"))), F.col("level")))
     # Only passages that some message quotes are looked for.
     said = _each(rows, units(F.col("own"))).join(cut(quoted.select("conv", "h", "g").distinct()), ["conv", "h", "g"], "left_semi")
-    found = _last_before(quoted, cut(said.select("conv", "turn", "h", "g")))
-    tally = found.groupBy("conv", "turn", "level", "source").agg(F.sum("n").alias("n"))
-    best = F.max(F.struct((-F.col("level")).alias("level"), "n", "source"))
+    found = cut(_last_before(quoted, cut(said.select("conv", "turn", "h", "g"))).withColumn("kind", F.when(F.col("n") >= SHORT, WHOLE).otherwise(BRIEF)))
+    # Levels none of whose passages some message says as a whole: they may be parts of one.
+    part = cut(quoted.join(found.select("conv", "turn", "level").distinct(), ["conv", "turn", "level"], "left_anti"))
+    if not part.isEmpty():
+        found = found.unionByName(_last_before(part, cut(_excerpts(part, rows))).withColumn("kind", F.lit(EXCERPT)))
+    tally = found.groupBy("conv", "turn", "level", "kind", "source").agg(F.sum("n").alias("n"))
+    best = F.max(F.struct((-F.col("level")).alias("level"), "kind", "n", "source"))
     return tally.groupBy("conv", "turn").agg(best["source"].alias("reply_to"))
 
 

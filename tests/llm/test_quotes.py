@@ -42,6 +42,28 @@ def test_replies_in_order(spark):
     assert not any(line.startswith(">") for x in got for line in x.content.split("\n"))
 
 
+def test_short_passages_and_excerpts(spark):
+    long = "The bridge is closed this week."
+    rows = [
+        (1, 0, "user", "Sounds good"),
+        (1, 1, "user", f"ok\n{long}"),
+        (1, 2, "user", "我们明天见面吧。"),
+        (1, 3, "user", "> Sounds good\na"),
+        (1, 4, "user", "> ok\nb"),
+        (1, 5, "user", "> 我们明天见面吧。\nc"),
+        (1, 6, "user", "> The bridge is closed\nd"),
+        (1, 7, "user", "> ok\nHere it is."),
+        (1, 8, "user", f"> ok\n> {long}\ne"),
+        (1, 9, "user", "> here\nf"),
+        (1, 10, "user", "> The bridge is open\ng"),
+        (1, 11, "user", "> is\nh"),  # of words, not of what is in "this"
+        (1, 12, "user", "> his\ni"),
+        (1, 13, "user", "> 明天\nj"),
+    ]
+    got = {x.turn: x.reply_to for x in quotes.replies(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == {3: 0, 4: 1, 5: 2, 6: 1, 7: 1, 8: 1, 9: 7, 11: 7, 13: 2}
+
+
 def test_last_source_before_against_brute_force(spark):
     r = random.Random(2)
     lines = [f"passage number {i} of all" for i in range(6)]
