@@ -106,6 +106,8 @@ class MLPClassifier(_Mlp):
     def fit(self, df: DataFrame, features: list[str], target: str) -> MLPClassifier:
         self.target_ = target
         self.classes_ = sorted(r[0] for r in df.select(ew.num(target)).distinct().limit(1001).collect())
+        if len(self.classes_) > 1000:
+            raise ValueError("at most 1000 classes are possible")
         place = F.array_position(F.array(*[F.lit(float(c)) for c in self.classes_]), ew.num(target)).cast("double") - 1
         return self._fit(df, features, place, max(1, len(self.classes_)))
 

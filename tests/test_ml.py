@@ -142,3 +142,8 @@ def test_splits(frame):
     assert sorted(r.place for r in shuffleArray(frame, "id").collect()) == list(range(200))
     with pytest.raises(ValueError):
         trainTestSplit(frame, "id", 0.6, trainSize=0.6)
+
+
+def test_mlp_of_too_many_classes(spark):
+    with pytest.raises(ValueError, match="1000 classes"):
+        MLPClassifier(maxIter=1, hiddenLayerSizes=(1,)).fit(spark.range(1002).selectExpr("double(id) as a", "double(id) as k"), ["a"], "k")
