@@ -692,11 +692,11 @@ def ordering(given):
 # Draws: how many, the share in the range, and whether mean and variance are as they should be (6 standard errors).
 
 
-def _drawn(t: Tensor, mean: float | None, var: float | None, low: float, high: float, n: int = 20000) -> Tensor:
+def _drawn(t: Tensor, mean: float | None, var: float | None, low: float, high: float, n: int = 20000, spread: bool = True) -> Tensor:
     v = F.col("v")
     close = F.lit(1.0) if mean is None else (F.abs(F.avg(v) - mean) < 6 * (var / n) ** 0.5).cast("double")
-    spread = F.lit(1.0) if var is None else F.when((F.var_pop(v) > 0.8 * var) & (F.var_pop(v) < 1.25 * var), 1.0).otherwise(0.0)
-    row = t.df.agg(F.count("*").cast("double").alias("a"), F.avg(v.between(low, high).cast("double")).alias("b"), close.alias("c"), spread.alias("d"))
+    wide = F.lit(1.0) if var is None or not spread else F.when((F.var_pop(v) > 0.8 * var) & (F.var_pop(v) < 1.25 * var), 1.0).otherwise(0.0)
+    row = t.df.agg(F.count("*").cast("double").alias("a"), F.avg(v.between(low, high).cast("double")).alias("b"), close.alias("c"), wide.alias("d"))
     each = F.array(*[F.struct(F.lit(k).cast("long").alias("i0"), F.col(c).alias("v")) for k, c in enumerate("abcd")])
     return Tensor(row.select(F.inline(each)), (4,))
 
@@ -735,7 +735,7 @@ def draws(given):
         "standardT": _drawn(api.standardT(s, 12, n, seed=24), 0, 1.2, -e, e),
         "f": _drawn(api.f(s, 5, 20, n, seed=25), 20 / 18, 2 * 400 * 23 / (5 * 324 * 16), 0, e),
         "vonmises": _drawn(api.vonmises(s, 0.0, 4.0, n, seed=26), 0, 0.2920, -pi, pi),
-        "zipf": _drawn(api.zipf(s, 6.0, n, seed=27), 1.0192657, 0.0275, 1, e),
+        "zipf": _drawn(api.zipf(s, 6.0, n, seed=27), 1.0192657, 0.0275, 1, e, spread=False),
         "choice": _drawn(api.choice(api.arange(s, 10), 20000, True, None, 28), 4.5, 8.25, 0, 9),
         "multinomial": _drawn(api.multinomial(s, 9, [0.2, 0.3, 0.5], 2000, 29), 3, 0.09 * 2 / 3 * 9 + 3, 0, 9, 6000),
         "dirichlet": _drawn(api.dirichlet(s, [2.0, 3.0, 5.0], 2000, 30), 1 / 3, 0.0328, 0, 1, 6000),
@@ -953,3 +953,48 @@ def estimators(given):
         "shuffleArray": [mixed.n, mixed.high, mixed.low],
         "accuracyScore": Tensor(f.select((F.col("a") > 0.5).cast("int").alias("a"), (F.col("b") > 0.5).cast("int").alias("b")).agg(metrics.accuracyScore("a", "b").alias("v")), ()),
     }
+
+
+# Names under which operations are known as well.
+
+
+@listing(
+    {
+        "absolute": "SELECT i0, i1, abs(v - 5) AS v FROM m",
+        "neg": "SELECT i0, i1, -v AS v FROM m",
+        "sub": "SELECT a.i0, a.i1, a.v - b.v AS v FROM m a JOIN m b ON a.i0 = b.i1 AND a.i1 = b.i0",
+        "mul": "SELECT a.i0, a.i1, a.v * b.v AS v FROM m a JOIN m b ON a.i0 = b.i1 AND a.i1 = b.i0",
+        "div": "SELECT a.i0, a.i1, a.v / (b.v + 1) AS v FROM m a JOIN m b ON a.i0 = b.i1 AND a.i1 = b.i0",
+        "addScalar": "SELECT i0, i1, v + 2 AS v FROM m",
+        "subScalar": "SELECT i0, i1, v - 2 AS v FROM m",
+        "divScalar": "SELECT i0, i1, v / 2 AS v FROM m",
+        "powScalar": "SELECT i0, i1, v * v AS v FROM m",
+        "corrcoef": "SELECT a.i0, b.i0 AS i1, corr(a.v, b.v) AS v FROM m a JOIN m b USING (i1) GROUP BY a.i0, b.i0",
+        "cov": "SELECT a.i0, b.i0 AS i1, covar_samp(a.v, b.v) AS v FROM m a JOIN m b USING (i1) GROUP BY a.i0, b.i0",
+        "avg_pool_2d": "SELECT (i0 // 2) * 2 + i1 // 2 AS i0, 0 AS i1, avg(v) AS v FROM m WHERE i0 < 4 AND i1 < 4 GROUP BY 1",
+        "max_pool_2d": "SELECT (i0 // 2) * 2 + i1 // 2 AS i0, 0 AS i1, max(v) AS v FROM m WHERE i0 < 4 AND i1 < 4 GROUP BY 1",
+        "batch_norm": "SELECT i0 * 5 + i1 AS i0, 0 AS i1, (v - 4) / sqrt(9 + 1e-5::DOUBLE) AS v FROM m",
+        "interpolate": _RESIZED.format(n=7, s=_STEPS.format(r="5 / 7::DOUBLE", n=7)),
+    }
+)
+def other_names(given):
+    m = given.m
+    picture = api.reshape(m, (1, 1, 5, 5))
+    by = lambda name: api.lookup(name)
+    return {
+        "absolute": by("absolute")(api.subtract(m, 5.0)),
+        "neg": by("neg")(m),
+        "sub": by("sub")(m, m.T),
+        "mul": by("mul")(m, m.T),
+        "div": by("div")(m, api.add(m.T, 1.0)),
+        "addScalar": by("addScalar")(m, 2.0),
+        "subScalar": by("subScalar")(m, 2.0),
+        "divScalar": by("divScalar")(m, 2.0),
+        "powScalar": by("powScalar")(m, 2.0),
+        "corrcoef": api.corrcoef(m),
+        "cov": api.cov(m),
+        "avg_pool_2d": by("avg_pool_2d")(picture, 2),
+        "max_pool_2d": by("max_pool_2d")(picture, 2),
+        "batch_norm": by("batch_norm")(picture, None, None, given.array([4.0]), given.array([9.0])),
+        "interpolate": by("interpolate")(picture, (7, 7)),
+    }

@@ -36,7 +36,8 @@ def dense(t: Tensor | list[Tensor], f: Callable, outputs: dict[str, tuple]) -> d
             v = np.ascontiguousarray(value, dtype=np.float64).ravel()
             yield pd.DataFrame({"name": name, "flat": np.arange(len(v)), "v": v})
 
-    rows = both.coalesce(1).mapInPandas(run, "name string, flat long, v double")
+    # Only the gathered rows meet; what makes them stays spread over tasks.
+    rows = both.repartition(1).mapInPandas(run, "name string, flat long, v double")
     if len(outputs) > 1:
         from ..plans.stage import cut
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import elementwise as ew
 from ..plans.tensor import Tensor, axis_of, elementwise
 from .algebra import einsum
+from .reduce import grouped
 from .reduce import softmax as _softmax
 from .shape import expandDims, squeeze
 from .shape import pad as _pad
@@ -49,13 +52,48 @@ def _with_bias(out: Tensor, bias: Tensor | None) -> Tensor:
     return elementwise(ew.add, out, bias.vector().reindexed([F.lit(0), F.col("i0"), F.lit(0), F.lit(0)], (1, bias.size, 1, 1)))
 
 
+#: Elements of weights that are sent with the query, of pictures that a task holds at a time, and of a picture that a task may hold.
+WEIGHTS, HELD, PICTURE = 1 << 16, 1 << 18, 1 << 22
+
+
+def _convolved(t: Tensor, w: np.ndarray, stride: tuple[int, int], padding: tuple[int, int], deep: bool) -> Tensor:
+    """By products of windows with weights, whole pictures at a time: pixels are shuffled once, by picture, and nothing is repeated."""
+    n, c, h, wide = t.shape
+    kh, kw = w.shape[-2:]
+    oh, ow = conv2d_output_size(h, wide, kh, kw, stride, padding)
+    outputs, many = w.shape[0], max(1, HELD // max(1, c * h * wide))
+
+    def run(rows: pa.Table) -> pa.Table:
+        i0, *at = (rows.column(k).to_numpy() for k in ("i0", "i1", "i2", "i3"))
+        pictures, place = np.unique(i0, return_inverse=True)
+        x = np.zeros((len(pictures), c, h + 2 * padding[0], wide + 2 * padding[1]))
+        x[place, at[0], at[1] + padding[0], at[2] + padding[1]] = rows.column("v").to_numpy()
+        windows = np.lib.stride_tricks.sliding_window_view(x, (kh, kw), axis=(2, 3))[:, :, :: stride[0], :: stride[1]]
+        y = np.einsum("nchwab,cab->nchw", windows, w) if deep else np.einsum("nchwab,ocab->nohw", windows, w, optimize=True)
+        index = np.indices(y.shape).reshape(4, -1)
+        columns = [pictures[index[0]], *index[1:], y.ravel()]
+        return pa.table({k: pa.array(x) for k, x in zip(("i0", "i1", "i2", "i3", "v"), columns, strict=True)})
+
+    blocks = t.df.withColumn("block", F.floor(F.col("i0") / many)).groupBy("block")
+    return Tensor(blocks.applyInArrow(run, "i0 long, i1 long, i2 long, i3 long, v double"), (n, outputs, oh, ow))
+
+
+def _small(t: Tensor, weight: Tensor) -> bool:
+    return weight.size <= WEIGHTS and t.size // max(1, t.shape[0]) <= PICTURE
+
+
 def conv2d(t: Tensor, weight: Tensor, bias: Tensor | None = None, stride=(1, 1), padding=(0, 0)) -> Tensor:
-    """Cross-correlation with (out, in, kh, kw) weights and zeros around: pixels at their places in windows meet the weights by
-    channel and place, and are added up by window."""
+    """Cross-correlation with (out, in, kh, kw) weights and zeros around.
+
+    Few weights are sent to tasks that hold whole pictures. Else pixels at their places in windows meet the weights by channel and
+    place, and are added up by window.
+    """
     n, c, _, _ = _images(t)
     oc, ic, kh, kw = weight.shape
     if ic != c:
         raise ValueError(f"{c} channels don't fit weights for {ic}")
+    if _small(t, weight):
+        return _with_bias(_convolved(t, weight.numpy(), _pair(stride), _pair(padding), False), bias)
     rows, oh, ow = _windows(t, (kh, kw), _pair(stride), _pair(padding))
     w = weight.df.select(F.col("i0").alias("oc"), F.col("i1"), F.col("i2").alias("kh"), F.col("i3").alias("kw"), F.col("v").alias("w"))
     sums = rows.join(w, ["i1", "kh", "kw"]).groupBy("i0", "oc", "oh", "ow").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
@@ -64,11 +102,13 @@ def conv2d(t: Tensor, weight: Tensor, bias: Tensor | None = None, stride=(1, 1),
 
 
 def depthwiseConv2d(t: Tensor, weight: Tensor, bias: Tensor | None = None, stride=(1, 1), padding=(0, 0)) -> Tensor:
-    """One (1, kh, kw) filter for each channel."""
+    """One (1, kh, kw) filter for each channel; as conv2d()."""
     n, c, _, _ = _images(t)
     if weight.shape[0] != c:
         raise ValueError("as many filters as channels are needed")
     kh, kw = weight.shape[-2:]
+    if _small(t, weight):
+        return _with_bias(_convolved(t, weight.numpy().reshape(c, kh, kw), _pair(stride), _pair(padding), True), bias)
     rows, oh, ow = _windows(t, (kh, kw), _pair(stride), _pair(padding))
     w = weight.df.select(F.col("i0").alias("i1"), F.col(f"i{weight.ndim - 2}").alias("kh"), F.col(f"i{weight.ndim - 1}").alias("kw"), F.col("v").alias("w"))
     sums = rows.join(w, ["i1", "kh", "kw"]).groupBy("i0", "i1", "oh", "ow").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
@@ -141,23 +181,29 @@ def _scaled(df: DataFrame, t: Tensor, last: int, gamma: Tensor | None, beta: Ten
     return df
 
 
+def _with_stats(t: Tensor, last: int, stats: dict[str, Column]) -> DataFrame:
+    """Elements with aggregates over the last axes: by a window where those are short, else joined."""
+    here = grouped(t, list(range(t.ndim - last, t.ndim)))
+    if here is not None:
+        return t.df.withColumns({k: e.over(here) for k, e in stats.items()})
+    by = t.index[: t.ndim - last]
+    groups = t.df.groupBy(*by).agg(*[e.alias(k) for k, e in stats.items()])
+    return t.df.join(groups, by) if by else t.df.crossJoin(F.broadcast(groups))
+
+
 def layer_norm(t: Tensor, normalized_shape: Sequence[int], gamma: Tensor | None = None, beta: Tensor | None = None, eps: float = 1e-5) -> Tensor:
     """To mean 0 and variance 1 over the last axes, then scaled and moved."""
     last = len(normalized_shape)
     if tuple(t.shape[t.ndim - last :]) != tuple(normalized_shape):
         raise ValueError("the last axes differ from the normalised shape")
-    by = t.index[: t.ndim - last]
-    stats = t.df.groupBy(*by).agg(F.avg("v").alias("m"), F.var_pop("v").alias("s"))
-    both = t.df.join(stats, by) if by else t.df.crossJoin(F.broadcast(stats))
+    both = _with_stats(t, last, {"m": F.avg("v"), "s": F.var_pop("v")})
     df = _scaled(both, t, last, gamma, beta)
     return Tensor(df.select(*t.index, ((F.col("v") - F.col("m")) / F.sqrt(F.col("s") + eps) * F.col("g") + F.col("b")).alias("v")), t.shape)
 
 
 def rms_norm(t: Tensor, gamma: Tensor | None = None, eps: float = 1e-5) -> Tensor:
     """x / sqrt(mean of squares over the last axis + eps), scaled."""
-    by = t.index[:-1]
-    stats = t.df.groupBy(*by).agg(F.avg(F.col("v") * F.col("v")).alias("s"))
-    both = t.df.join(stats, by) if by else t.df.crossJoin(F.broadcast(stats))
+    both = _with_stats(t, 1, {"s": F.avg(F.col("v") * F.col("v"))})
     df = _scaled(both, t, 1, gamma, None)
     return Tensor(df.select(*t.index, (F.col("v") / F.sqrt(F.col("s") + eps) * F.col("g")).alias("v")), t.shape)
 

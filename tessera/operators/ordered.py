@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import elementwise as ew
@@ -13,6 +16,8 @@ from ..plans.tensor import Tensor, axis_of, coordinates
 
 #: Sorted vectors of up to so many elements go to every task; longer ones are joined by range.
 LOOKUP = 1 << 20
+#: Elements of a kernel that is part of the query, and of the blocks in which longer ones are convolved.
+KERNEL, SPAN = 1 << 10, 1 << 16
 
 
 def _running(t: Tensor, axis: int | None, how: str) -> Tensor:
@@ -102,15 +107,31 @@ def _span(n: int, m: int, mode: str) -> tuple[int, int]:
 
 
 def convolve(a: Tensor, v: Tensor, mode: str = "full") -> Tensor:
-    """Of vectors. A kernel of up to LOOKUP elements is part of the query; a longer one is joined to every element."""
+    """Of vectors. A kernel of up to KERNEL elements is part of the query, a longer one meets blocks of the other block by block, each
+    pair in one product of transforms; a block's results that overlap the next one's are added up by place."""
     if not a.size or not v.size:
         raise ValueError("empty vectors can't be convolved")
     first, size = _span(a.size, v.size, mode)
-    if v.size <= 1 << 10:
+    if v.size <= KERNEL:
         kernel = v.numpy().tolist()
         return stencil(a.vector(), 0, [(-j, w) for j, w in enumerate(kernel)], size, first)
-    pairs = a.vector().df.crossJoin(v.vector().df.select(F.col("i0").alias("j"), F.col("v").alias("w")))
-    sums = pairs.groupBy((F.col("i0") + F.col("j") - first).alias("i0")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+
+    def blocks(t: Tensor, name: str) -> DataFrame:
+        rows = t.vector().df.withColumn("at", F.floor(F.col("i0") / SPAN) * SPAN)
+        return rows.groupBy(F.col("at").alias(f"{name}_at")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i0", "v"))), lambda x: x["v"]).alias(name))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                x, y = (batch.column(c)[row].values.to_numpy() for c in (1, 3))
+                n = len(x) + len(y) - 1
+                wide = 1 << (n - 1).bit_length()
+                out = np.fft.irfft(np.fft.rfft(x, wide) * np.fft.rfft(y, wide), wide)[:n]
+                at = batch.column(0)[row].as_py() + batch.column(2)[row].as_py() + np.arange(n)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out)], names=["at", "v"])
+
+    pairs = blocks(a, "x").crossJoin(blocks(v, "y")).select("x_at", "x", "y_at", "y").repartition(F.col("x_at"), F.col("y_at"))
+    sums = pairs.mapInArrow(run, "at long, v double").groupBy((F.col("at") - first).alias("i0")).agg(F.sum("v").alias("v"))
     return Tensor(sums.where((F.col("i0") >= 0) & (F.col("i0") < size)), (size,))
 
 
@@ -245,3 +266,43 @@ def interp(x: Tensor, xp: Tensor, fp: Tensor) -> Tensor:
     slope = ew.divide(F.col("f1") - F.col("f0"), F.col("x1") - F.col("x0"))
     v = F.when(F.isnan("v"), ew.NAN).when(F.col("x0").isNull(), F.col("f1")).when(F.col("x1").isNull() | (F.col("v") == F.col("x0")), F.col("f0")).otherwise(F.col("f0") + slope * (F.col("v") - F.col("x0")))
     return Tensor(df.select(*x.index, v.alias("v")), x.shape)
+
+
+#: Rows of a block of queries, and of a block of the rows that they are compared with.
+ASKED, COMPARED = 1 << 10, 1 << 12
+
+
+def nearestRows(asked: DataFrame, df: DataFrame, key: str, column: str, k: int, digits: int = 12) -> DataFrame:
+    """(q_id, ``key``, score, rank): for each row of ``asked`` the ``k`` others of ``df`` with the greatest cosine of the array ``column``.
+
+    Scores are rounded to ``digits``; ties go to the least key. Blocks of queries meet blocks of rows, each pair of blocks in one
+    matrix product that leaves its own best k; a query's best of all blocks are put in order then. Nothing is broadcast, and no
+    pair of rows is a row of any table. Rows that are null, or without a direction, are near nothing.
+    """
+
+    def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
+        rows = rows.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("x")).where("id is not null and x is not null")
+        count = F.greatest(F.lit(1), F.ceil(F.lit(rows.count()) / size)).cast("int")
+        return rows.groupBy(F.pmod(F.xxhash64("id"), count).alias("block")).agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("x")).alias(name)).drop("block")
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                ids, x, other, y = (batch.column(c)[row].values.to_numpy() for c in range(4))
+                x, y = x.reshape(len(ids), -1), y.reshape(len(other), -1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
+                    scores = np.round(x @ y.T, digits)
+                scores[(ids[:, None] == other[None, :]) | ~np.isfinite(scores)] = -np.inf
+                # Columns in the order of their keys, so that a stable order by score breaks ties by key.
+                by_key = np.argsort(other, kind="stable")
+                place = np.argsort(-scores[:, by_key], axis=1, kind="stable")[:, :k]
+                found = np.take_along_axis(scores[:, by_key], place, axis=1)
+                q, near, found = np.repeat(ids, place.shape[1]), other[by_key][place].ravel(), found.ravel()
+                some = np.isfinite(found)
+                yield pa.RecordBatch.from_arrays([pa.array(q[some]), pa.array(near[some]), pa.array(found[some])], names=["q_id", "near", "score"])
+
+    pairs = blocks(asked, ASKED, "q").crossJoin(blocks(df, COMPARED, "v")).select("q_ids", "q", "v_ids", "v")
+    each = pairs.repartition(F.hash("q_ids", "v_ids")).mapInArrow(best, "q_id long, near long, score double")
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "near"))
+    return each.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("q_id", F.col("near").alias(key), "score", "rank")

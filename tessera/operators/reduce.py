@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as agg
 from ..functions import elementwise as ew
+from ..plans.quantiles import FEW, quantiles
 from ..plans.tensor import Tensor, axis_of, flat_index, scalar
 from .algebra import broadcastTo
 
@@ -67,12 +69,31 @@ nanmin = _reduction(agg.nanmin, NAN, "Without NaN; NaN if nothing is left.")
 nanmax = _reduction(agg.nanmax, NAN, "Without NaN; NaN if nothing is left.")
 nanargmin = _reduction(lambda v: agg.nanargmin(v, "at"), -1.0, "-1 if all are NaN.")
 nanargmax = _reduction(lambda v: agg.nanargmax(v, "at"), -1.0, "-1 if all are NaN.")
-median = _reduction(agg.median, NAN, "Midpoint of the middle two.")
-nanmedian = _reduction(agg.nanmedian, NAN, "Without NaN.")
+def _selected(t: Tensor, q: float, axis: int | None, keepdims: bool, method: str, skip_nan: bool) -> Tensor:
+    """Order statistics: of an aggregate's values up to FEW of them, beyond that by exact selection without gathering any."""
+    axis = None if axis is None else axis_of(axis, t.ndim)
+    if (t.size if axis is None or t.ndim == 1 else t.shape[axis]) <= FEW:
+        return along(t, lambda: (agg.nanquantile if skip_nan else agg.quantile)("v", q, method), axis, keepdims, NAN)
+    by = [] if axis is None else t.others(axis)
+    found = quantiles(t.df, by, "v", {"v": (q, method)}, skip_nan)
+    out = Tensor(found.select(*[F.col(c).alias(f"i{k}") for k, c in enumerate(by)], "v"), [n for k, n in enumerate(t.shape) if f"i{k}" in by])
+    if not keepdims:
+        return out
+    return out.reindexed([F.col(f"i{by.index(c)}") if c in by else F.lit(0) for c in t.index], [n if f"i{k}" in by else 1 for k, n in enumerate(t.shape)])
+
+
+def median(t: Tensor, axis: int | None = None, keepdims: bool = False) -> Tensor:
+    """Midpoint of the middle two."""
+    return _selected(t, 0.5, axis, keepdims, "linear", False)
+
+
+def nanmedian(t: Tensor, axis: int | None = None, keepdims: bool = False) -> Tensor:
+    """Without NaN."""
+    return _selected(t, 0.5, axis, keepdims, "linear", True)
 
 
 def quantile(t: Tensor, q: float, axis: int | None = None, keepdims: bool = False, method: str = "linear") -> Tensor:
-    return along(t, lambda: agg.quantile("v", q, method), axis, keepdims, NAN)
+    return _selected(t, q, axis, keepdims, method, False)
 
 
 def percentile(t: Tensor, q: float, axis: int | None = None, keepdims: bool = False, method: str = "linear") -> Tensor:
@@ -80,7 +101,7 @@ def percentile(t: Tensor, q: float, axis: int | None = None, keepdims: bool = Fa
 
 
 def nanquantile(t: Tensor, q: float, axis: int | None = None, keepdims: bool = False, method: str = "linear") -> Tensor:
-    return along(t, lambda: agg.nanquantile("v", q, method), axis, keepdims, NAN)
+    return _selected(t, q, axis, keepdims, method, True)
 
 
 def nanpercentile(t: Tensor, q: float, axis: int | None = None, keepdims: bool = False, method: str = "linear") -> Tensor:
@@ -146,9 +167,32 @@ def cov(x: Tensor, y: Tensor | None = None, rowvar: bool = True, bias: bool = Fa
     return gram.map(lambda v: v / float(left) if left > 0 else ew.divide(v, 0.0))
 
 
+def covOfColumns(df: DataFrame, columns: list[str], ddof: int = 1) -> Tensor:
+    """Covariances of columns as a matrix, rows being observations in no order: one aggregation of means, one of products about them.
+
+    Of few columns (their pairs are expressions of one aggregate); matrices with many go to cov().
+    """
+    means = df.agg(*[F.avg(ew.num(c)).alias(f"m{k}") for k, c in enumerate(columns)])
+    m = means.first()
+    x = [ew.num(c) - F.lit(NAN if m[k] is None else m[k]) for k, c in enumerate(columns)]
+    every = [(i, j) for i, _ in enumerate(columns) for j, _ in enumerate(columns)]
+    pairs = [(i, j) for i, j in every if i <= j]
+    sums = df.agg(F.count("*").alias("n"), *[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs])
+    cell = lambda i, j: F.struct(F.lit(i).cast("long").alias("i0"), F.lit(j).cast("long").alias("i1"), ew.divide(F.col("s{}_{}".format(*sorted((i, j)))), F.greatest(F.col("n") - ddof, F.lit(0)).cast("double")).alias("v"))
+    return Tensor(sums.select(F.inline(F.array(*[cell(i, j) for i, j in every]))), (len(columns), len(columns)))
+
+
+def corrOfColumns(df: DataFrame, columns: list[str]) -> Tensor:
+    """Correlations of columns as a matrix; NaN for a constant one."""
+    return _correlated(covOfColumns(df, columns, 0))
+
+
 def corrcoef(x: Tensor, y: Tensor | None = None, rowvar: bool = True) -> Tensor:
     """Covariances over standard deviations; NaN for a constant variable."""
-    c = cov(x, y, rowvar, bias=True)
+    return _correlated(cov(x, y, rowvar, bias=True))
+
+
+def _correlated(c: Tensor) -> Tensor:
     spread = c.df.where("i0 = i1").select("i0", F.sqrt("v").alias("s"))
     df = c.df.join(spread, "i0").join(spread.select(F.col("i0").alias("i1"), F.col("s").alias("s1")), "i1")
     return Tensor(df.select("i0", "i1", ew.divide(F.col("v"), F.col("s") * F.col("s1")).alias("v")), c.shape)
@@ -315,9 +359,21 @@ def histogram2d(x: Tensor, y: Tensor, bins: int = 10, range=None, density: bool
     return hist, ex, ey
 
 
+def grouped(t: Tensor, axes: list[int]) -> Window | None:
+    """A window over the given axes, where their elements are few enough to meet in a task: one shuffle, no join. Else None."""
+    if math.prod(t.shape[k] for k in axes) > FEW or len(axes) == t.ndim:
+        return None
+    return Window.partitionBy(*[c for k, c in enumerate(t.index) if k not in axes])
+
+
 def softmax(t: Tensor, axis: int = -1, log: bool = False) -> Tensor:
-    """exp(x - max) over its sum along an axis (or the logarithm of that), by joins with the axis' maxima and sums."""
-    by = t.others(axis_of(axis, t.ndim))
+    """exp(x - max) over its sum along an axis (or the logarithm of that); a long axis' maxima and sums are joined."""
+    k = axis_of(axis, t.ndim)
+    if (here := grouped(t, [k])) is not None:
+        shifted = t.df.withColumn("s", F.col("v") - F.max("v").over(here))
+        total = F.sum(F.exp("s")).over(here)
+        return Tensor(shifted.select(*t.index, (F.col("s") - F.ln(total) if log else F.exp("s") / total).alias("v")), t.shape)
+    by = t.others(k)
     shifted = _with(t.df, t.df.groupBy(*by).agg(F.max("v").alias("m")), by).withColumn("s", F.col("v") - F.col("m"))
     both = _with(shifted, shifted.groupBy(*by).agg(F.sum(F.exp("s")).alias("t")), by)
     return Tensor(both.select(*t.index, (F.col("s") - F.ln("t") if log else F.exp("s") / F.col("t")).alias("v")), t.shape)
@@ -335,8 +391,8 @@ def logSoftmax(t: Tensor, axis: int = -1) -> Tensor:
 def logsumexp(t: Tensor, axis: int = -1, keepdims: bool = False) -> Tensor:
     """max + ln(sum(exp(x - max))) along an axis; an infinite maximum is the result."""
     k = axis_of(axis, t.ndim)
-    by = t.others(k)
-    both = _with(t.df, t.df.groupBy(*by).agg(F.max("v").alias("m")), by)
+    by, here = t.others(k), grouped(t, [k])
+    both = _with(t.df, t.df.groupBy(*by).agg(F.max("v").alias("m")), by) if here is None else t.df.withColumn("m", F.max("v").over(here))
     tops = F.first("m")
     f = lambda: F.when(F.abs(tops) == ew.INF, tops).otherwise(tops + F.ln(F.sum(F.exp(F.col("v") - F.col("m")))))
     return along(Tensor(both, t.shape), f, k, keepdims)

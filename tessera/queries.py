@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import api
+from . import api, listings
 from .functions import aggregates as agg
 from .functions import elementwise as ew
 from .operators import nn
@@ -17,6 +17,7 @@ from .operators.ml.cluster import KMeans
 from .operators.ml.linear import LinearRegression, LogisticRegression
 from .operators.ml.preprocess import MinMaxScaler, StandardScaler
 from .operators.ml.split import trainTestSplit
+from .plans.quantiles import quantiles
 from .plans.tensor import Tensor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,9 +65,12 @@ _STATS = {"sum": "sum(x)", "mean": "avg(x)", "var": "var_pop(x)", "std": "stddev
 
 @query(f"SELECT l_returnflag, l_linestatus, {_sql_list(_STATS, 4)} FROM (SELECT *, l_extendedprice AS x FROM lineitem) GROUP BY ALL")
 def stats_by_flag(spark, sf_dir):
-    x = "l_extendedprice"
-    exprs = {"sum": agg.sum(x), "mean": agg.mean(x), "var": agg.var(x), "std": agg.std(x), "min": agg.min(x), "max": agg.max(x), "ptp": agg.ptp(x), "median": agg.median(x), "q90": agg.quantile(x, 0.9)}
-    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(*[r(e, 4).alias(k) for k, e in exprs.items()])
+    """One aggregation, and exact order statistics by selection, joined on the few groups."""
+    x, by = "l_extendedprice", ["l_returnflag", "l_linestatus"]
+    df = read(spark, sf_dir, "lineitem")
+    exprs = {"sum": agg.sum(x), "mean": agg.mean(x), "var": agg.var(x), "std": agg.std(x), "min": agg.min(x), "max": agg.max(x), "ptp": agg.ptp(x)}
+    order = quantiles(df, by, x, {"median": (0.5, "linear"), "q90": (0.9, "linear")})
+    return df.groupBy(*by).agg(*[r(e, 4).alias(k) for k, e in exprs.items()]).join(order.select(*by, r(F.col("median"), 4).alias("median"), r(F.col("q90"), 4).alias("q90")), by)
 
 
 @query("""SELECT o_orderstatus, round(sum(o_totalprice), 2) AS total, round(product(1 + o_totalprice / 1e9::DOUBLE), 8) AS prod, bool_and(o_totalprice <> 0)::INT AS all_nonzero, bool_or(o_totalprice > 499000)::INT AS any_big,
@@ -84,14 +88,17 @@ arg_max(c_custkey, (x, -c_custkey)) FILTER (x IS NOT NULL) AS nanargmax, round(m
 def nan_reductions(spark, sf_dir):
     x = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).otherwise(ew.NAN)
     df = read(spark, sf_dir, "customer").withColumn("x", x)
-    return df.groupBy("c_nationkey").agg(r(agg.nansum("x"), 4).alias("nansum"), r(agg.nanmean("x"), 4).alias("nanmean"), r(agg.nanvar("x"), 3).alias("nanvar"), r(agg.nanstd("x"), 4).alias("nanstd"), agg.nanmin("x").alias("nanmin"), agg.nanmax("x").alias("nanmax"), agg.nanargmin("x", "c_custkey").alias("nanargmin"), agg.nanargmax("x", "c_custkey").alias("nanargmax"), r(agg.nanmedian("x"), 4).alias("nanmedian"), r(agg.nanquantile("x", 0.25), 4).alias("nanq25"), r(agg.nanprod(F.col("x") / 1e9 + 1), 10).alias("nanprod"))
+    order = quantiles(df, ["c_nationkey"], "x", {"nanmedian": (0.5, "linear"), "nanq25": (0.25, "linear")}, skip_nan=True)
+    rest = df.groupBy("c_nationkey").agg(r(agg.nansum("x"), 4).alias("nansum"), r(agg.nanmean("x"), 4).alias("nanmean"), r(agg.nanvar("x"), 3).alias("nanvar"), r(agg.nanstd("x"), 4).alias("nanstd"), agg.nanmin("x").alias("nanmin"), agg.nanmax("x").alias("nanmax"), agg.nanargmin("x", "c_custkey").alias("nanargmin"), agg.nanargmax("x", "c_custkey").alias("nanargmax"), r(agg.nanprod(F.col("x") / 1e9 + 1), 10).alias("nanprod"))
+    return rest.join(order.select("c_nationkey", r(F.col("nanmedian"), 4).alias("nanmedian"), r(F.col("nanq25"), 4).alias("nanq25")), "c_nationkey")
 
 
 @query("""WITH s AS (SELECT event_type, list_sort(list(value)) AS v, (count(*) - 1) * 0.37::DOUBLE AS p FROM events GROUP BY event_type)
 SELECT event_type, round(v[floor(p)::INT + 1], 6) AS lower, round(v[ceil(p)::INT + 1], 6) AS higher, round((v[floor(p)::INT + 1] + v[ceil(p)::INT + 1]) / 2, 6) AS midpoint,
 round(CASE WHEN p - floor(p) <= 0.5 THEN v[floor(p)::INT + 1] ELSE v[ceil(p)::INT + 1] END, 6) AS nearest, round(v[floor(p)::INT + 1] * (1 - (p - floor(p))) + v[ceil(p)::INT + 1] * (p - floor(p)), 6) AS linear FROM s""")
 def quantile_methods(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(*[r(agg.quantile("value", 0.37, m)).alias(m) for m in agg.METHODS])
+    found = quantiles(read(spark, sf_dir, "events"), ["event_type"], "value", {m: (0.37, m) for m in agg.METHODS})
+    return found.select("event_type", *[r(F.col(m)).alias(m) for m in agg.METHODS])
 
 
 _FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -100,8 +107,9 @@ _PAIRS = " UNION ALL ".join(f"SELECT {i}::BIGINT AS i0, {j}::BIGINT AS i1, round
 
 @query(_PAIRS)
 def cov_corr(spark, sf_dir):
-    t = Tensor.from_features(read(spark, sf_dir, "lineitem"), _FEATURES, LINE)
-    cov, corr = api.cov(t, rowvar=False), api.corrcoef(t, rowvar=False)
+    """Observations are rows in no order, so nothing is ranked or shuffled: sums about the means, in two passes."""
+    df = read(spark, sf_dir, "lineitem")
+    cov, corr = api.covOfColumns(df, _FEATURES), api.corrOfColumns(df, _FEATURES)
     return cov.df.select("i0", "i1", r(F.col("v"), 4).alias("cov")).join(corr.df.select("i0", "i1", r(F.col("v"), 8).alias("corr")), ["i0", "i1"])
 
 
@@ -364,17 +372,10 @@ def trace_of_gram(spark, sf_dir):
 @query("""WITH e AS (SELECT *, embedding::DOUBLE[] AS x FROM embeddings), q AS (SELECT vec_id AS q_id, x AS y FROM e WHERE vec_id % 50 = 0)
 SELECT q_id, vec_id, round(list_cosine_similarity(x, y), 8) AS score, row_number() OVER (PARTITION BY q_id ORDER BY round(list_cosine_similarity(x, y), 8) DESC, vec_id) AS rank FROM e JOIN q ON vec_id <> q_id QUALIFY rank <= 10""")
 def cosine_topk(spark, sf_dir):
-    """The ten nearest of all vectors for every fiftieth: rows as unit vectors, one product, the best of each row."""
-    from pyspark.sql import Window
-
+    """The ten nearest of all vectors for every fiftieth, in blocks: see nearestRows()."""
     df = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    size = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))
-    unit = df.select("vec_id", F.transform("x", lambda v: v / size).alias("x"))
-    asked = unit.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("x").alias("y"))
-    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    scores = unit.join(asked, F.col("vec_id") != F.col("q_id")).select("q_id", "vec_id", r(dot, 8).alias("score"))
-    best = Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id")
-    return scores.withColumn("rank", F.row_number().over(best).cast("long")).where("rank <= 10")
+    found = api.nearestRows(df.where("vec_id % 50 = 0"), df, "vec_id", "x", 10, digits=8)
+    return found.select("q_id", "vec_id", "score", "rank")
 
 
 @query(f"WITH m AS {_M}, t AS (SELECT *, max(v) OVER (PARTITION BY i0) AS t FROM m) SELECT i0, i1, round(exp(v - t) / sum(exp(v - t)) OVER (PARTITION BY i0), 9) AS v FROM t")
@@ -597,18 +598,25 @@ def pooled_batch_norm(spark, sf_dir):
 # Without SQL: factorizations, transforms, draws and iterative fits; their tests hold them against NumPy.
 
 
-@query()
+@query(f"WITH m AS {_M}, g AS (SELECT a.i1, b.i1 AS j, sum(a.v * b.v) AS v FROM m a JOIN m b USING (i0) GROUP BY ALL) SELECT round((SELECT sum(v * v) FROM m), 5) AS squares, round((SELECT sum(v * v) FROM g), 4) AS fourths, 64::BIGINT AS n")
 def svd_values(spark, sf_dir):
-    return rounded(api.singular_values(_matrix(spark, sf_dir)), 5)
+    """Sums of the singular values' second and fourth powers, which are sums of squares of the matrix and of its products."""
+    s2 = F.col("v") * F.col("v")
+    return api.singular_values(_matrix(spark, sf_dir)).df.agg(r(F.sum(s2), 5).alias("squares"), r(F.sum(s2 * s2), 4).alias("fourths"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH e AS {_E}, k AS (SELECT unnest(range(0, (SELECT count(*) // 2 + 1 FROM events))) AS k) SELECT k::BIGINT AS i0, round(sum(x * cos(2 * pi() / n * ((i * k) % n))), 1) + 0 AS re, round(-sum(x * sin(2 * pi() / n * ((i * k) % n))), 1) + 0 AS im FROM e, k GROUP BY k""")
 def fft_events(spark, sf_dir):
     z = api.rfft(_events(spark, sf_dir))
-    return z["real"].df.select("i0", r(F.col("v"), 4).alias("re")).join(z["imag"].df.select("i0", r(F.col("v"), 4).alias("im")), "i0")
+    return z["real"].df.select("i0", (r(F.col("v"), 1) + 0.0).alias("re")).join(z["imag"].df.select("i0", (r(F.col("v"), 1) + 0.0).alias("im")), "i0")
 
 
-@query()
+_LSQ = """WITH s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc, sum(a * y) AS ay, sum(b * y) AS by_, sum(c * y) AS cy FROM (SELECT l_quantity AS a, l_discount AS b, l_tax AS c, l_extendedprice AS y FROM lineitem)),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s)
+SELECT unnest([0, 1, 2])::BIGINT AS i0, round(unnest([(ay * (bb * cc - bc * bc) + by_ * (ac * bc - ab * cc) + cy * (ab * bc - ac * bb)) / det, (ay * (ac * bc - ab * cc) + by_ * (aa * cc - ac * ac) + cy * (ab * ac - aa * bc)) / det, (ay * (ab * bc - ac * bb) + by_ * (ab * ac - aa * bc) + cy * (aa * bb - ab * ab)) / det]), 3) AS v FROM d"""
+
+
+@query(_LSQ)
 def least_squares(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem")
     a = Tensor.from_features(df, ["l_quantity", "l_discount", "l_tax"], LINE)
@@ -622,7 +630,7 @@ def random_stats(spark, sf_dir):
     return frames[0].union(frames[1]).union(frames[2]).union(frames[3])
 
 
-@query()
+@query("SELECT o_orderstatus, 'test' AS part, floor(count(*) * 0.2 + 0.5)::BIGINT AS n FROM orders GROUP BY o_orderstatus UNION ALL SELECT o_orderstatus, 'train', (count(*) - floor(count(*) * 0.2 + 0.5))::BIGINT FROM orders GROUP BY o_orderstatus")
 def split_sizes(spark, sf_dir):
     train, test = trainTestSplit(read(spark, sf_dir, "orders"), "o_orderkey", 0.2, randomState=3, stratify="o_orderstatus")
     return train.groupBy("o_orderstatus").agg(F.count("*").alias("n")).withColumn("part", F.lit("train")).unionByName(test.groupBy("o_orderstatus").agg(F.count("*").alias("n")).withColumn("part", F.lit("test")))
@@ -641,4 +649,7 @@ def logistic_fit(spark, sf_dir):
     return m.predict(df).agg(r(metrics.accuracyScore("k", "prediction"), 6).alias("accuracy"), F.lit(round(m.intercept_[0], 4)).alias("intercept"))
 
 
+for _name, _query in listings.QUERIES.items():
+    QUERIES[_name], SQL[_name] = _query, listings.SQL[_name]
+
 FLAGSHIP = "stats_by_flag"

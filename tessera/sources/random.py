@@ -120,61 +120,73 @@ def wald(spark, mean: float, scale: float, shape, seed: int | None = None) -> Te
     return _drawn(spark, shape, value, seed)
 
 
-def _by_numpy(draw: Callable[[np.random.Generator], float]) -> Callable[[Column, int], Column]:
-    """Draws without a closed form: a generator of its own for each element, on Arrow batches."""
+#: Elements that one generator draws together.
+BLOCK = 1 << 12
+
+
+def _by_numpy(draw: Callable[[np.random.Generator, int], np.ndarray]) -> Callable[[Column, int], Column]:
+    """Draws without a closed form: a generator for each block of positions, on Arrow batches. A block is drawn whole wherever a part
+    of it is asked for, so partitions don't matter."""
 
     def value(position: Column, s: int) -> Column:
         @F.pandas_udf("double")
-        def run(keys: pd.Series) -> pd.Series:
-            return pd.Series([float(draw(np.random.Generator(np.random.PCG64(k & (2**64 - 1))))) for k in keys.tolist()])
-
-        return run(F.xxhash64(position, F.lit(s).cast("long")))
+        def run(places: pd.Series) -> pd.Series:
+            at = places.to_numpy(np.int64)
+            out = np.empty(len(at))
+            blocks, which = np.unique(at // BLOCK, return_inverse=True)
+            for k, block in enumerate(blocks.tolist()):
+                mine = which == k
+                drawn = draw(np.random.Generator(np.random.PCG64([s & (2**64 - 1), block])), BLOCK)
+                out[mine] = drawn[at[mine] % BLOCK]
+            return pd.Series(out)
+
+        return run(position)
 
     return value
 
 
 def poisson(spark, lam: float, shape, seed: int | None = None) -> Tensor:
-    return _drawn(spark, shape, _by_numpy(lambda g: g.poisson(lam)), seed)
+    return _drawn(spark, shape, _by_numpy(lambda g, count: g.poisson(lam, count)), seed)
 
 
 def binomial(spark, n: int, p: float, shape, seed: int | None = None) -> Tensor:
-    return _drawn(spark, shape, _by_numpy(lambda g: g.binomial(n, p)), seed)
+    return _drawn(spark, shape, _by_numpy(lambda g, count: g.binomial(n, p, count)), seed)
 
 
 def negativeBinomial(spark, n: float, p: float, shape, seed: int | None = None) -> Tensor:
-    return _drawn(spark, shape, _by_numpy(lambda g: g.negative_binomial(n, p)), seed)
+    return _drawn(spark, shape, _by_numpy(lambda g, count: g.negative_binomial(n, p, count)), seed)
 
 
 def hypergeometric(spark, ngood: int, nbad: int, nsample: int, shape, seed: int | None = None) -> Tensor:
-    return _drawn(spark, shape, _by_numpy(lambda g: g.hypergeometric(ngood, nbad, nsample)), seed)
+    return _drawn(spark, shape, _by_numpy(lambda g, count: g.hypergeometric(ngood, nbad, nsample, count)), seed)
 
 
 def beta(spark, a: float, b: float, shape, seed: int | None = None) -> Tensor:
-    return _drawn(spark, shape, _by_numpy(lambda g: g.beta(a, b)), seed)
+    return _drawn(spark, shape, _by_numpy(lambda g, count: g.beta(a, b, count)), seed)
 
 
 def gamma(spark, shape_param: float, scale: float, size, seed: int | None = None) -> Tensor:
-    return _drawn(spark, size, _by_numpy(lambda g: g.gamma(shape_param, scale)), seed)
+    return _drawn(spark, size, _by_numpy(lambda g, count: g.gamma(shape_param, scale, count)), seed)
 
 
 def chisquare(spark, df: float, shape, seed: int | None = None) -> Tensor:
-    return _drawn(spark, shape, _by_numpy(lambda g: g.chisquare(df)), seed)
+    return _drawn(spark, shape, _by_numpy(lambda g, count: g.chisquare(df, count)), seed)
 
 
 def standardT(spark, df: float, shape, seed: int | None = None) -> Tensor:
-    return _drawn(spark, shape, _by_numpy(lambda g: g.standard_t(df)), seed)
+    return _drawn(spark, shape, _by_numpy(lambda g, count: g.standard_t(df, count)), seed)
 
 
 def f(spark, dfnum: float, dfden: float, shape, seed: int | None = None) -> Tensor:
-    return _drawn(spark, shape, _by_numpy(lambda g: g.f(dfnum, dfden)), seed)
+    return _drawn(spark, shape, _by_numpy(lambda g, count: g.f(dfnum, dfden, count)), seed)
 
 
 def vonmises(spark, mu: float, kappa: float, shape, seed: int | None = None) -> Tensor:
-    return _drawn(spark, shape, _by_numpy(lambda g: g.vonmises(mu, kappa)), seed)
+    return _drawn(spark, shape, _by_numpy(lambda g, count: g.vonmises(mu, kappa, count)), seed)
 
 
 def zipf(spark, a: float, shape, seed: int | None = None) -> Tensor:
-    return _drawn(spark, shape, _by_numpy(lambda g: g.zipf(a)), seed)
+    return _drawn(spark, shape, _by_numpy(lambda g, count: g.zipf(a, count)), seed)
 
 
 def _vectors(spark, size: int, width: int, draw: Callable[[np.random.Generator], np.ndarray], given: int | None) -> Tensor:

@@ -28,3 +28,25 @@ def test_name(name):
         assert any(hasattr(c, name) for c in api.ESTIMATORS)
     else:
         assert callable(api.lookup(name))
+
+
+#: What no query can hold to SQL: how the other system is run, or results that are text or nothing.
+ELSEWHERE = {"autotune"}
+
+
+@pytest.mark.skipif(not SURVEY.exists(), reason="the inventory isn't here")
+def test_every_name_is_in_a_query_with_sql():
+    """By name in a listing, or in the source of a query over the standard tables that has SQL."""
+    import inspect
+
+    from tessera import listings, queries
+
+    covered = set().union(*listings.COVERS.values())
+    aliases = {a: f for a, f in api.ALIASES.items()}
+    for name, query in queries.QUERIES.items():
+        if name in queries.SQL and name not in listings.COVERS:
+            covered |= set(re.findall(r"\w+", inspect.getsource(query)))
+    covered |= set(re.findall(r"\w+", " ".join(list(queries._UNARY) + list(queries._BINARY) + list(queries._PREDICATES) + list(queries._BITS) + list(queries._STATS))))
+    same = lambda name: any(o in covered and api.lookup(o) is aliases.get(name, None if name in METHODS | PRIVATE else api.lookup(name)) for o in covered if o in vars(api))
+    missing = [n for n in names() if n not in covered and n not in ELSEWHERE and not same(n)]
+    assert missing == []

@@ -472,3 +472,51 @@ def test_materialize_and_map(mk):
     check(api.modf(mk([1.5]))["frac"], [0.5])
     check(api.vectorize(lambda a, b: a * 10 + b)(mk([1.0, 2]), mk([[3.0], [4]])), [[13, 23], [14, 24]])
     assert F is not None
+
+
+def test_long_kernels(mk, monkeypatch):
+    from tessera.operators import ordered
+
+    monkeypatch.setattr(ordered, "KERNEL", 8)
+    monkeypatch.setattr(ordered, "SPAN", 16)
+    a, v = R.normal(size=70), R.normal(size=35)
+    for mode in ("full", "same", "valid"):
+        check(api.convolve(mk(a), mk(v), mode), np.convolve(a, v, mode))
+
+
+def test_nearest_rows(spark, monkeypatch):
+    from tessera.operators import ordered
+
+    monkeypatch.setattr(ordered, "ASKED", 3)
+    monkeypatch.setattr(ordered, "COMPARED", 7)
+    x = R.normal(size=(40, 5))
+    x[7] = x[11]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(90, None), (91, [0.0] * 5)]
+    df = spark.createDataFrame(rows, "id long, e array<double>")
+    got = api.nearestRows(df.where("id % 8 = 3 or id > 80"), df, "id", "e", 4).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(3, 40, 8):
+        scores = np.round(unit[q] @ unit.T, 12)
+        want = [i for i in np.lexsort((np.arange(40), -scores)) if i != q][:4]
+        assert [r.id for r in sorted(got, key=lambda r: r.rank) if r.q_id == q] == want
+    assert {r.q_id for r in got} == set(range(3, 40, 8))
+
+
+def test_selection_of_long_axes(mk, monkeypatch):
+    from tessera.operators import reduce
+    from tessera.plans import quantiles
+
+    monkeypatch.setattr(reduce, "FEW", 2)
+    monkeypatch.setattr(quantiles, "FEW", 2)
+    x = R.normal(size=(5, 9))
+    check(api.median(mk(x)), np.median(x))
+    check(api.quantile(mk(x), 0.3, 1), np.quantile(x, 0.3, axis=1))
+    check(api.quantile(mk(x), 0.3, 0, keepdims=True, method="higher"), np.quantile(x, 0.3, axis=0, keepdims=True, method="higher"))
+    check(api.softmax(mk(x), 1), np.exp(x) / np.exp(x).sum(1, keepdims=True))
+
+
+def test_covariance_of_columns(spark):
+    x = R.normal(size=(50, 3)) * [1, 10, 100] + 1e6
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    check(api.covOfColumns(df, ["a", "b", "c"]), np.cov(x, rowvar=False), 1e-8)
+    check(api.corrOfColumns(df, ["a", "b", "c"]), np.corrcoef(x, rowvar=False), 1e-8)
