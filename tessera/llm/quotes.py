@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.order import ranked
+from ..plans.stage import discard
 from .common import cut, let, table
 
 MARK = r"^((?:[ \t]*>)+)[ \t]?"
@@ -16,6 +18,8 @@ EXCERPT, BRIEF, WHOLE = 0, 1, 2
 #: Characters by which excerpts are looked up, and those of words between spaces.
 GRAM = 4
 ALPHABET = r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}\p{N}]"
+#: Messages of a thread that meet in one row of conversations().
+PART = 10_000
 #: Turns looked through at a time for the last one with a passage.
 STEP = 256
 
@@ -95,13 +99,26 @@ def _excerpts(asked: DataFrame, rows: DataFrame) -> DataFrame:
     return each.join(asked, ["conv", "gram"]).where(F.contains("said", "unit") & part).select("conv", "turn", "h", "g").distinct()
 
 
+def _elsewhere(quoted: DataFrame, rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(conv, turn, reply_conv, reply_to) of messages that quote nothing of their own conversation, but SHORT characters or more of a
+    message of an earlier one: of all that say the passage, the first in the order of conversations and turns."""
+    asked = cut(quoted.where(F.col("n") >= SHORT).join(found.select("conv", "turn").distinct(), ["conv", "turn"], "left_anti"))
+    said = _each(rows, units(F.col("own"))).join(cut(asked.select("h", "g").distinct()), ["h", "g"], "left_semi")
+    origin = cut(said.groupBy("h", "g").agg(F.min(F.struct("conv", "turn")).alias("source")))
+    known = asked.join(origin, ["h", "g"]).where(F.col("source.conv") < F.col("conv"))
+    tally = known.groupBy("conv", "turn", "level", "source").agg(F.sum("n").alias("n"))
+    best = F.max(F.struct((-F.col("level")).alias("level"), "n", "source"))["source"]
+    return tally.groupBy("conv", "turn").agg(best.alias("source")).select("conv", "turn", F.col("source.conv").alias("reply_conv"), F.col("source.turn").alias("reply_to"))
+
+
 def replies(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """(conv, turn, reply_to): the earlier turn of the conversation that a message quotes most of, in characters; the later of equals.
+    """(conv, turn, reply_conv, reply_to): the earlier message that a message quotes most of, in characters; the later of equals.
 
     Quoted lines are parsed into levels. Passages at the least level that has a source tell: level 1 quotes the message that is
-    answered, deeper ones what that one quoted. Every passage goes to the last message before that says it itself, outside
-    quotes, by hashes of the normalised text (96 bits). At a level, passages of SHORT characters decide, then shorter ones, then
-    parts of what a message says. Messages with a null conversation or turn have no reply.
+    answered, deeper ones what that one quoted. Every passage goes to the last message of the conversation before that says it
+    itself, outside quotes, by hashes of the normalised text (96 bits). At a level, passages of SHORT characters decide, then
+    shorter ones, then parts of what a message says. If nothing of the conversation is quoted, passages of SHORT characters go
+    to the first message of an earlier conversation that says them. Messages with a null conversation or turn have no reply.
     """
     rows = messages.where(F.col(conv).isNotNull() & F.col(turn).isNotNull()).select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), parsed(F.col(text)).alias("lines")).withColumn("own", body(F.col("lines")))
     quoting = rows.where(F.exists("lines", lambda x: x["level"] > 0))
@@ -116,39 +133,99 @@ def replies(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text
         found = found.unionByName(_last_before(part, cut(_excerpts(part, rows))).withColumn("kind", F.lit(EXCERPT)))
     tally = found.groupBy("conv", "turn", "level", "kind", "source").agg(F.sum("n").alias("n"))
     best = F.max(F.struct((-F.col("level")).alias("level"), "kind", "n", "source"))
-    return tally.groupBy("conv", "turn").agg(best["source"].alias("reply_to"))
+    inside = cut(tally.groupBy("conv", "turn").agg(best["source"].alias("reply_to")).select("conv", "turn", F.col("conv").alias("reply_conv"), "reply_to"))
+    return inside if part.isEmpty() else inside.unionByName(_elsewhere(quoted, rows, inside))
 
 
 def threads(links: DataFrame) -> DataFrame:
-    """(conv, turn, reply_to, root, depth) from replies to earlier turns: pointers are doubled until all reach a root, in log(depth) rounds."""
-    now = cut(links.select("conv", "turn", "reply_to", F.col("reply_to").alias("root"), F.lit(1).alias("depth"), F.lit(False).alias("done")))
+    """(conv, turn, reply_conv, reply_to, root_conv, root, depth) from replies to earlier messages: pointers are doubled until all reach
+    a root, in log(depth) rounds."""
+    links = links.select("conv", "turn", "reply_conv", "reply_to")
+    now = cut(links.select("*", F.col("reply_conv").alias("root_conv"), F.col("reply_to").alias("root"), F.lit(1).alias("depth"), F.lit(False).alias("done")))
     while True:
-        jump = now.select("conv", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        now = cut(now.join(jump, ["conv", "root"], "left").select("conv", "turn", "reply_to", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNull().alias("done")))
+        jump = now.select(F.col("conv").alias("root_conv"), F.col("turn").alias("root"), F.col("root_conv").alias("next_conv"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        far = now.join(jump, ["root_conv", "root"], "left")
+        after = cut(far.select(*links.columns, F.coalesce("next_conv", "root_conv").alias("root_conv"), F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNull().alias("done")))
+        discard(now)
+        now = after
         if now.where("not done").isEmpty():
             return now.drop("done")
 
 
+def positions(tree: DataFrame) -> DataFrame:
+    """(conv, turn, position) of all messages of threads(): 0 for a root, then every message right after the one it answers and what was
+    said below that, answers to one message in the order of conversations and turns.
+
+    A thread is walked down into every message and up again; where each step leads is known from a message's first answer, the next
+    answer to the same message, and the message above. Steps are doubled until all end, in log(messages of a thread) rounds, so
+    neither a long chain nor a message with very many answers meets in one task.
+    """
+    parents = tree.select(F.col("reply_conv").alias("conv"), F.col("reply_to").alias("turn"))
+    nodes = cut(ranked(tree.select("conv", "turn").unionByName(parents).distinct(), ["conv", "turn"], "id").df.select("conv", "turn", F.col("id").cast("long").alias("id")))
+    child = nodes.select(F.col("conv"), F.col("turn"), F.col("id").alias("child"))
+    parent = nodes.select(F.col("conv").alias("reply_conv"), F.col("turn").alias("reply_to"), F.col("id").alias("parent"))
+    edges = cut(tree.select("conv", "turn", "reply_conv", "reply_to").join(child, ["conv", "turn"]).join(parent, ["reply_conv", "reply_to"]).select("parent", "child"))
+    row = cut(ranked(edges, ["parent", "child"], "place").df.select("parent", "child", "place"))
+    beside = row.select(F.col("parent"), (F.col("place") - 1).alias("place"), F.col("child").alias("beside"))
+    first = edges.groupBy("parent").agg(F.min("child").alias("first"))
+    # Steps 2 id (down into a message) and 2 id + 1 (up from it).
+    down = nodes.join(first.withColumnRenamed("parent", "id"), "id", "left").select((2 * F.col("id")).alias("step"), F.coalesce(2 * F.col("first"), 2 * F.col("id") + 1).alias("next"), F.lit(1).cast("long").alias("left"))
+    up = row.join(beside, ["parent", "place"], "left").select((2 * F.col("child") + 1).alias("step"), F.coalesce(2 * F.col("beside"), 2 * F.col("parent") + 1).alias("next"), F.lit(0).cast("long").alias("left"))
+    now = cut(down.unionByName(up))
+    while True:
+        jump = now.select(F.col("step").alias("next"), F.col("next").alias("far"), F.col("left").alias("more"))
+        after = cut(now.join(jump, "next", "left").select("step", F.col("far").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
+        discard(now)
+        now = after
+        if now.where("next is not null").isEmpty():
+            break
+    # What is left from a message on, itself included; a root has all of its thread before it.
+    left = cut(now.where("step % 2 = 0").select((F.col("step") / 2).cast("long").alias("id"), "left").join(nodes, "id").select("conv", "turn", "left"))
+    whole = left.select(F.col("conv").alias("root_conv"), F.col("turn").alias("root"), F.col("left").alias("all"))
+    below = tree.select("conv", "turn", "root_conv", "root").join(left, ["conv", "turn"]).join(whole, ["root_conv", "root"])
+    roots = tree.select(F.col("root_conv").alias("conv"), F.col("root").alias("turn")).distinct().select("conv", "turn", F.lit(0).cast("long").alias("position"))
+    return below.select("conv", "turn", (F.col("all") - F.col("left")).alias("position")).unionByName(roots)
+
+
 def formatted(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Every message as (``conv``, ``turn``, ``role``, reply_to, root, depth, content, formatted): in reply order by conv, root, depth and turn.
+    """Every message as (``conv``, ``turn``, ``role``, reply_conv, reply_to, root_conv, root, depth, position, content, formatted): in reply
+    order by root_conv, root and position, every answer below what it answers.
 
     content is the text without quotes, formatted the same after a line that names the role; a null text gives empty content, a
-    null role `user`. A message that quotes nothing known is a root: its own root, depth 0. Rows that repeat a turn are all
-    kept and share reply and root.
+    null role `user`. A message that quotes nothing known is a root: its own root, depth and position 0. Rows that repeat a
+    turn are all kept and share reply, root and position. Other columns of ``messages`` don't matter, whatever their names.
     """
-    tree = cut(threads(replies(messages, conv, turn, text)))
+    links = cut(replies(messages, conv, turn, text))
     own = messages.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), body(parsed(F.col(text))).alias("content"))
-    joined = own.join(tree, ["conv", "turn"], "left")
+    if links.isEmpty():
+        kind = dict(links.dtypes)["conv"]
+        nothing = {"reply_conv": kind, "reply_to": "long", "root_conv": kind, "root": "long", "depth": "int", "position": "long"}
+        joined = own.withColumns({k: F.lit(None).cast(t) for k, t in nothing.items()})
+    else:
+        tree = cut(threads(links))
+        joined = own.join(tree, ["conv", "turn"], "left").join(cut(positions(tree)), ["conv", "turn"], "left")
     shown = F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("content"))
-    return joined.select(F.col("conv").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), "reply_to", F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"), "content", shown.alias("formatted"))
+    place = [F.coalesce("root_conv", "conv").alias("root_conv"), F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("position", F.lit(0).cast("long")).alias("position")]
+    return joined.select(F.col("conv").alias(conv), F.col("turn").alias(turn), F.col("role").alias(role), "reply_conv", "reply_to", *place, "content", shown.alias("formatted"))
+
+
+def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(root_conv, root, part, messages): threads as arrays of (position, role, content) in reply order, PART places a row, so that no thread
+    is too long for a row. Messages without a conversation or turn aren't in any."""
+    rows = formatted(messages, conv, turn, role, text).where(F.col(conv).isNotNull() & F.col(turn).isNotNull())
+    said = F.array_sort(F.collect_list(F.struct("position", F.coalesce(role, F.lit("user")).alias("role"), "content")))
+    return rows.groupBy("root_conv", "root", F.floor(F.col("position") / PART).alias("part")).agg(said.alias("messages"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As formatted(), with -1 for no reply."""
-    return formatted(table(spark, sf_dir, "conversations")).withColumn("reply_to", F.coalesce("reply_to", F.lit(-1).cast("long")))
+    none = F.lit(-1).cast("long")
+    return formatted(table(spark, sf_dir, "conversations")).withColumns({c: F.coalesce(c, none) for c in ("reply_conv", "reply_to")})
 
 
-_UNITS = r"list_distinct(list_filter(list_concat(list_transform(string_split_regex({0}, '\n\s*\n'), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), list_transform(string_split({0}, chr(10)), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g')))), lambda x: len(x) >= {1}))"
+_NORMAL = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
+_UNITS = rf"list_distinct(list_filter(list_concat(list_transform(string_split_regex({{0}}, '\n\s*\n'), lambda x: {_NORMAL.format('x')}), list_transform(string_split({{0}}, chr(10)), lambda x: {_NORMAL.format('x')})), lambda x: len(x) > 0))"
+_OTHER = r"[^\p{Latin}\p{Cyrillic}\p{Greek}\p{N}]"
 
 #: SQL for op1: passages are compared themselves, threads walked link by link.
 OP1_SQL = rf"""
@@ -157,11 +234,18 @@ l AS (SELECT rid, conv_id, turn, i, len(regexp_replace(regexp_extract(ls[i], '{M
 k AS (SELECT *, lead(level) OVER (PARTITION BY rid ORDER BY i) AS next FROM l),
 b AS (SELECT rid, regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0 AND NOT (regexp_matches(line, '{WROTE}') AND coalesce(next, 0) > 0)), ''), '^\s+', ''), '\s+$', '') AS content FROM k GROUP BY rid),
 v AS (SELECT a.rid, a.conv_id, a.turn, a.level, string_agg(CASE WHEN l.level = a.level THEN l.line ELSE '' END, chr(10) ORDER BY l.i) AS t FROM (SELECT DISTINCT rid, conv_id, turn, level FROM l WHERE level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL) a JOIN l USING (rid) GROUP BY ALL),
-q AS (SELECT conv_id, turn, level, unnest({_UNITS.format("t", SHORT)}) AS unit FROM v),
-s AS (SELECT DISTINCT conv_id, turn, unnest({_UNITS.format("content", SHORT)}) AS unit FROM b JOIN m USING (rid)),
-f AS (SELECT q.conv_id, q.turn, q.level, q.unit, max(s.turn) AS source, count(DISTINCT s.turn) AS d FROM q JOIN s ON q.conv_id = s.conv_id AND q.unit = s.unit AND s.turn < q.turn GROUP BY ALL),
-p AS (SELECT conv_id, turn, arg_max(source, (-level, n, source)) AS reply_to FROM (SELECT conv_id, turn, level, source, sum(len(unit)) AS n FROM f GROUP BY ALL) GROUP BY ALL),
-r AS (SELECT conv_id, turn, reply_to AS root, 1 AS depth FROM p UNION ALL SELECT r.conv_id, r.turn, p.reply_to, depth + 1 FROM r JOIN p ON p.conv_id = r.conv_id AND p.turn = r.root),
-t AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth)::INT AS depth FROM r GROUP BY ALL)
-SELECT conv_id, turn, role, coalesce(reply_to, -1)::BIGINT AS reply_to, coalesce(root, turn) AS root, coalesce(depth, 0)::INT AS depth, content, '<|' || coalesce(role, 'user') || '|>' || chr(10) || content AS formatted FROM m JOIN b USING (rid) LEFT JOIN p USING (conv_id, turn) LEFT JOIN t USING (conv_id, turn)
+q AS (SELECT conv_id, turn, level, unnest({_UNITS.format("t")}) AS unit FROM v),
+s AS (SELECT DISTINCT conv_id, turn, unnest({_UNITS.format("content")}) AS unit FROM b JOIN m USING (rid) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+f AS (SELECT q.conv_id, q.turn, q.level, q.unit, max(s.turn) AS source, CASE WHEN len(q.unit) >= {SHORT} THEN {WHOLE} ELSE {BRIEF} END AS kind, count(DISTINCT s.turn) AS d FROM q JOIN s ON q.conv_id = s.conv_id AND q.unit = s.unit AND s.turn < q.turn GROUP BY ALL),
+y AS (SELECT conv_id, turn, {_NORMAL.format("content")} AS said FROM b JOIN m USING (rid)),
+x AS (SELECT q.conv_id, q.turn, q.level, q.unit, max(y.turn) AS source, {EXCERPT} AS kind, 0 AS d FROM q ANTI JOIN f ON q.conv_id = f.conv_id AND q.turn = f.turn AND q.level = f.level
+JOIN y ON q.conv_id = y.conv_id AND y.turn < q.turn AND contains(y.said, q.unit) AND regexp_matches(y.said, '(^|{_OTHER})' || regexp_escape(q.unit) || '($|{_OTHER})') GROUP BY ALL),
+p0 AS (SELECT conv_id, turn, arg_max(source, (-level, kind, n, source)) AS reply_to FROM (SELECT conv_id, turn, level, kind, source, sum(len(unit)) AS n FROM (SELECT * FROM f UNION ALL SELECT * FROM x) GROUP BY ALL) GROUP BY ALL),
+o AS (SELECT unit, min((conv_id, turn)) AS source FROM s GROUP BY unit),
+p1 AS (SELECT conv_id, turn, arg_max(source, (-level, n, source)) AS source FROM (SELECT q.conv_id, q.turn, level, o.source, sum(len(q.unit)) AS n FROM q ANTI JOIN p0 ON q.conv_id = p0.conv_id AND q.turn = p0.turn JOIN o USING (unit) WHERE len(q.unit) >= {SHORT} AND o.source[1] < q.conv_id GROUP BY ALL) GROUP BY ALL),
+p AS (SELECT conv_id, turn, conv_id AS reply_conv, reply_to FROM p0 UNION ALL SELECT conv_id, turn, source[1], source[2] FROM p1),
+r AS (SELECT conv_id, turn, reply_conv AS root_conv, reply_to AS root, 1 AS depth, [(conv_id, turn)] AS path FROM p UNION ALL SELECT r.conv_id, r.turn, p.reply_conv, p.reply_to, depth + 1, list_concat([(p.conv_id, p.turn)], path) FROM r JOIN p ON p.conv_id = r.root_conv AND p.turn = r.root),
+t AS (SELECT *, row_number() OVER (PARTITION BY root_conv, root ORDER BY path) AS position FROM (SELECT conv_id, turn, arg_max(root_conv, depth) AS root_conv, arg_max(root, depth) AS root, max(depth)::INT AS depth, arg_max(path, depth) AS path FROM r GROUP BY conv_id, turn))
+SELECT conv_id, turn, role, coalesce(reply_conv, -1)::BIGINT AS reply_conv, coalesce(reply_to, -1)::BIGINT AS reply_to, coalesce(root_conv, conv_id) AS root_conv, coalesce(root, turn) AS root, coalesce(depth, 0)::INT AS depth, coalesce(position, 0)::BIGINT AS position,
+content, '<|' || coalesce(role, 'user') || '|>' || chr(10) || content AS formatted FROM m JOIN b USING (rid) LEFT JOIN p USING (conv_id, turn) LEFT JOIN t USING (conv_id, turn)
 """

@@ -16,6 +16,11 @@ def quote(text):
 
 def conversations(r):
     rows = [(1, 0, "user", A), (1, 1, "assistant", f"{quote(A)}\n{B}"), (1, 2, "user", f"{quote(quote(A))}\n{quote(B)}\n\n{C}"), (1, 3, "user", "> WHERE shall we\n>   meet tomorrow?\nOn time."), (1, 4, "user", f">> {A}\nDeeper."), (1, 5, None, None), (2, 0, "user", f"> {A}\nElsewhere.")]
+    # Short passages, parts of lines, other scripts, deeper levels, chains and other conversations.
+    rows += [(3, 0, "user", "Sounds good"), (3, 1, "user", f"ok\n{C}"), (3, 2, None, "我们明天见面吧。"), (3, 3, "user", "> Sounds good\na"), (3, 4, "user", "> ok\nb"), (3, 5, "user", "> 我们明天见面吧。\nc"), (3, 6, "user", "> The bridge is closed\nd"), (3, 7, "user", "> is\n>> Sounds good\ne"), (3, 8, "user", "> his (a+b)*\nf"), (3, 9, "user", ">>> Sounds good\n>> ok\n> b\n\nlast (a+b)* one"), (3, 10, "user", "> last (a+b)*\ng")]
+    say = [f"This is sentence number {i} of all." for i in range(30)]
+    for conv in (4, 5):
+        rows += [(conv, i, "user", f"> {say[r.randrange(30)]}\n> > {say[r.randrange(30)]}\n{say[(i * 7 + conv) % 30]}") for i in range(40)]
     return [("conversations", "conv_id long, turn int, role string, text string", rows)]
 
 
