@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.order import ranked
 from .common import components, cut, table
 
 #: Leading principal dimensions of the grid, vectors in an interval that is moved as one, and in one that is compared outright.
@@ -30,8 +31,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+#: Partial sums that are added up in one task, at most, before the last one.
+FAN = 16
+
+
 def _axes(classes: DataFrame, vector: str) -> dict[int, np.ndarray]:
-    """By dimension of vectors: the leading principal axes of all unit vectors of that dimension (rows), from sums of products."""
+    """By dimension of vectors: the leading principal axes of all unit vectors of that dimension (rows), from sums of products.
+
+    Sums travel as one block of numbers for each task, are added up in two steps, and what comes back are the axes alone.
+    """
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -41,21 +49,30 @@ def _axes(classes: DataFrame, vector: str) -> dict[int, np.ndarray]:
                 x = _unit(_matrix(col.filter(pa.array(size == n))))
                 x = np.hstack((x, np.ones((len(x), 1))))
                 sums[n] = sums.get(n, 0) + x.T @ x
+        fan = TaskContext.get().partitionId() % FAN
         for n, s in sums.items():
-            i, j = np.indices(s.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(s.size, n), pa.int32()), pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(s.ravel())], names=["n", "i", "j", "s"])
-
-    rows = classes.select(vector, F.size(vector).alias("n")).mapInArrow(products, "n int, i int, j int, s double").groupBy("n", "i", "j").agg(F.sum("s").alias("s")).collect()
-    found = {}
-    for n in {r.n for r in rows}:
-        s = np.zeros((n + 1, n + 1))
-        for r in rows:
-            if r.n == n:
-                s[r.i, r.j] = r.s
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([fan], pa.int32()), pa.array([s.tobytes()])], names=["n", "fan", "s"])
+
+    def added(part: pa.Table) -> np.ndarray:
+        n = part.column("n")[0].as_py() + 1
+        total = np.zeros(n * n)
+        for x in part.column("s"):
+            total += np.frombuffer(x.as_buffer())
+        return total.reshape(n, n)
+
+    def summed(part: pa.Table) -> pa.Table:
+        return pa.table({"n": part.column("n").slice(0, 1), "s": pa.array([added(part).tobytes()])})
+
+    def principal(part: pa.Table) -> pa.Table:
+        s = added(part)
+        n = len(s) - 1
         mean = s[n, :n] / s[n, n]
         _, vectors = np.linalg.eigh(s[:n, :n] / s[n, n] - np.outer(mean, mean))
-        found[n] = vectors[:, ::-1][:, :DIMS].T
-    return found
+        return pa.table({"n": part.column("n").slice(0, 1), "axes": pa.array([np.ascontiguousarray(vectors[:, ::-1][:, :DIMS].T).tobytes()])})
+
+    parts = classes.select(vector, F.size(vector).alias("n")).mapInArrow(products, "n int, fan int, s binary")
+    sums = parts.groupBy("n", "fan").applyInArrow(summed, "n int, s binary").groupBy("n").applyInArrow(principal, "n int, axes binary")
+    return {r.n: np.frombuffer(bytes(r.axes)).reshape(-1, r.n) for r in sums.collect()}
 
 
 def _join(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray, eps: float, least: float, same: bool, emit) -> None:
@@ -88,13 +105,44 @@ def _join(a: np.ndarray, pa_: np.ndarray, b: np.ndarray, pb: np.ndarray, eps: fl
         walk(0, len(a), 0, len(b))
 
 
+def _interval_pairs(boxes: DataFrame, eps: float) -> DataFrame:
+    """(a, b), a <= b: intervals (block: long, in their order, label, n, low, high) of one label and dimension whose boxes are at most eps apart.
+
+    The recursion over the order that _join() does within two intervals, across all of them: the order is halved again and again, a
+    half's box being that of what is in it; from the whole with itself, pairs of halves go on down to intervals unless their
+    boxes are too far apart. A step is a join on the halves' numbers, so no key gathers more than a half's partners.
+    """
+    sides = [f"{x}{k}" for x in ("l", "h") for k in range(DIMS)]
+    spread = [F.get("low", k).alias(f"l{k}") for k in range(DIMS)] + [F.get("high", k).alias(f"h{k}") for k in range(DIMS)]
+    placed = ranked(boxes, ["label", "n", "block"], "place").df
+    level = cut(placed.select("label", "n", "block", (F.col("place") - 1).cast("long").alias("at"), *spread))
+    leaves, levels, size = level, [level.drop("block")], level.count()
+    while size > 1:
+        both = levels[-1].groupBy("label", "n", F.shiftright("at", 1).alias("at"))
+        levels.append(cut(both.agg(*[(F.min if c[0] == "l" else F.max)(c).alias(c) for c in sides])))
+        size = (size + 1) // 2
+    top = levels.pop()
+    pairs = top.select("label", "n", F.col("at").alias("a"), F.col("at").alias("b"))
+    two = lambda c: F.explode(F.array(2 * F.col(c), 2 * F.col(c) + 1)).alias(c)
+    while levels:
+        level = levels.pop()
+        side = lambda at: level.select("label", "n", F.col("at").alias(at), *[F.col(c).alias(f"{at}_{c}") for c in sides])  # noqa: E731,B023
+        half = pairs.select("label", "n", two("a"), "b").select("label", "n", "a", two("b")).where("a <= b")
+        gaps = [F.greatest(F.lit(0.0), F.col(f"b_l{k}") - F.col(f"a_h{k}"), F.col(f"a_l{k}") - F.col(f"b_h{k}")) for k in range(DIMS)]
+        far = half.join(side("a"), ["label", "n", "a"]).join(side("b"), ["label", "n", "b"])
+        pairs = cut(far.where(sum((g * g for g in gaps), F.lit(0.0)) <= eps * eps).select("label", "n", "a", "b"))
+    block = lambda c: leaves.select(F.col("at").alias(c), F.col("block").alias(f"{c}_block"))
+    named = pairs.join(block("a"), "a").join(block("b"), "b")
+    return named.select(F.col("a_block").alias("a"), F.col("b_block").alias("b"))
+
+
 def near_links(classes: DataFrame, least: float = 0.98) -> tuple[DataFrame, DataFrame]:
     """For distinct vectors (rep: long, label, vector, many: copies): links (u, v), and (rep, near): how many copies of others are near.
 
     The distance of unit vectors is at most eps iff their cosine is at least ``least``. All are projected on the leading principal
     axes, which never lengthens a distance, put in grid cells of side eps, and sorted by label, dimension and cells (epsilon grid order). The
     order is cut into intervals of up to INTERVAL vectors. Pairs of intervals of one label are joined unless the boxes of their
-    projections are more than eps apart; within a pair, halves are joined recursively in the same way, down to LEAF vectors,
+    projections, or of halves of the order that they are in, are more than eps apart; within a pair, halves are joined recursively in the same way, down to LEAF vectors,
     whose cosines are computed in double precision. Each pair of intervals returns its vectors' counts of near ones and a
     forest of links that connects the same vectors, so that dense clusters don't give links by the square.
     """
@@ -153,13 +201,7 @@ def near_links(classes: DataFrame, least: float = 0.98) -> tuple[DataFrame, Data
 
     kind_of_label = kept.schema["label"].dataType.simpleString()
     content = cut(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(intervals, f"block long, label {kind_of_label}, n int, low array<double>, high array<double>, reps array<long>, many array<long>, flat array<{number}>, spots array<double>"))
-    box = content.select("block", "label", "n", "low", "high")
-    # Intervals meet where the cells of their first dimension are the same or neighbours; equal on label, dimension and cell.
-    span = lambda more: F.explode(F.sequence(F.floor(F.get("low", 0) / eps) - more, F.floor(F.get("high", 0) / eps) + more))
-    a = box.select(F.col("block").alias("a"), "label", "n", F.col("low").alias("al"), F.col("high").alias("ah"), span(0).alias("c"))
-    b = box.select(F.col("block").alias("b"), "label", "n", F.col("low").alias("bl"), F.col("high").alias("bh"), span(1).alias("c"))
-    gap = F.aggregate(F.zip_with(F.zip_with("bl", "ah", lambda x, y: x - y), F.zip_with("al", "bh", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0.0), x, y)), F.lit(0.0), lambda s, g: s + g * g)
-    pairs = cut(a.join(b, ["label", "n", "c"]).where(F.col("a") <= F.col("b")).where(gap <= eps * eps).select("a", "b").distinct())
+    pairs = cut(_interval_pairs(content.select("block", "label", "n", "low", "high"), eps))
     half = lambda at: content.select(F.col("block").alias(at), F.struct("n", "reps", "many", "flat", "spots").alias(f"{at}_rows"))
     both = pairs.join(half("a"), "a").join(half("b"), "b").select("a_rows", "b_rows", (F.col("a") == F.col("b")).alias("same"))
 
@@ -223,6 +265,7 @@ def near_groups(df: DataFrame, key: str = "vec_id", vector: str = "embedding", l
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_groups() of all embeddings."""
     return near_groups(table(spark, sf_dir, "embeddings"))
 
 
