@@ -12,6 +12,8 @@ SYMBOLS = r"[^#*$%&|<>]+"
 
 #: What a rule measures, from 0 (clean) to 1: parts of a text.
 RULES = ("symbol_share", "dup_line_share", "repeat_share", "upper_share", "bang_share")
+#: How much a share counts: the cutoff of a rule is a stratum's level divided by this.
+SCALES = {"symbol_share": 3.0, "dup_line_share": 1.0, "repeat_share": 1.0, "upper_share": 1.5, "bang_share": 1.0}
 
 
 def _repeated(words: Column) -> Column:
@@ -68,30 +70,34 @@ def most_allowed(n: Column, alpha: float, delta: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.ceil(n * alpha).cast("int")), start, step, lambda x: x["k"])
 
 
+def badness() -> Column:
+    """The greatest of the shares by SCALES, at most 1: the level of the strictest joint cutoffs that reject the text."""
+    return F.least(F.lit(1.0), F.greatest(*[F.col(r) * SCALES[r] for r in RULES]))
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "stratum", alpha: float = 0.02, delta: float = 0.05, grid: int = 50, weight: float = 20.0) -> DataFrame:
-    """(stratum, and for each rule the least share that it rejects, null for none): risk-controlled on the labelled holdout.
+    """(stratum, level: the least badness() that is rejected, null for none): risk-controlled on the labelled holdout.
 
     ``labels`` (doc_id, quality 0/1) marks good (1) and bad texts; of contradicting labels of one id, 1 counts, and rows with a
-    null id or label don't. The holdout is every labelled row of ``measured`` that the base rules pass. A rule's candidate cutoffs
-    are fixed beforehand: j / ``grid``. One is certified if the exact binomial bound shows that it rejects at most ``alpha`` /
-    rules of the good texts in the stratum. Cutoffs are tested from the strictest down to the first failure (fixed sequence, so no
-    correction within a rule), each at ``delta`` / (rules * strata) (Bonferroni). So with probability 1 - ``delta`` all rules
-    together reject at most ``alpha`` of good texts in every stratum. Of the certified ones, the cutoff that rejects most bad
-    texts is taken, a good one weighing as ``weight`` bad ones; the higher of equals; none if no bad text is gained.
-    A stratum with few labels certifies nothing and rejects nothing. No rows come out for strata without labels.
+    null id or label don't. The holdout is every labelled row of ``measured`` that the base rules pass. Candidate levels are fixed
+    beforehand: j / ``grid``; a level sets the cutoffs of all rules together. One is certified if the exact binomial bound shows
+    that it rejects at most ``alpha`` of the good texts in the stratum. Levels are tested from the strictest down to the
+    first failure (fixed sequence, so rules and levels need no correction), at ``delta`` / strata (Bonferroni). So with probability
+    1 - ``delta`` at most ``alpha`` of good texts are rejected in every stratum. Of the certified ones, the level that rejects most
+    bad texts is taken, a good one weighing as ``weight`` bad ones; the higher of equals; none if no bad text is gained.
+    A stratum with few labels certifies nothing and rejects nothing: with 5 strata that takes ln(0.01) / ln(0.98), 228 good texts at
+    least. No rows come out for strata without labels.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    held = measured.where("not base_failed").join(cut(known), "doc_id").select(stratum, "quality", *RULES)
-    bins = F.array(*[F.struct(F.lit(r).alias("rule"), F.floor(F.col(r) * grid).cast("int").alias("bin")) for r in RULES])
-    tallies = held.select(stratum, "quality", F.inline(bins)).groupBy(stratum, "rule", "bin").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") != 1).cast("long")).alias("bad"))
+    held = measured.where("not base_failed").join(cut(known), "doc_id").select(stratum, "quality", F.floor(badness() * grid).cast("int").alias("bin"))
+    tallies = held.groupBy(stratum, "bin").agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") != 1).cast("long")).alias("bad"))
     at_least = lambda what: F.array(*[F.sum(F.when(F.col("bin") >= j, F.col(what)).otherwise(0)) for j in range(1, grid + 1)]).alias(f"{what}_at")
-    tested = cut(tallies.groupBy(stratum, "rule").agg(F.sum("good").alias("n"), at_least("good"), at_least("bad")))
-    strata = tested.select(stratum).distinct().count()
-    tested = tested.withColumn("most", most_allowed(F.col("n"), alpha / len(RULES), F.lit(delta / (len(RULES) * max(1, strata)))))
+    tested = cut(tallies.groupBy(stratum).agg(F.sum("good").alias("n"), at_least("good"), at_least("bad")))
+    tested = tested.withColumn("most", most_allowed(F.col("n"), alpha, F.lit(delta / max(1, tested.count()))))
     gain = lambda j: F.get("bad_at", j - 1) - weight * F.get("good_at", j - 1)
-    # Rejections only grow as cutoffs fall: all that are certified are above the first failure.
+    # Rejections only grow as levels fall: all that are certified are above the first failure.
     best = F.array_max(F.transform(F.filter(F.sequence(F.lit(1), F.lit(grid)), lambda j: (F.get("good_at", j - 1) <= F.col("most")) & (gain(j) > 0)), lambda j: F.struct(gain(j).alias("gain"), j.alias("j"))))["j"]
-    return tested.withColumn("cutoff", best / grid).groupBy(stratum).agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"{r}_cutoff") for r in RULES])
+    return tested.select(stratum, (best / grid).alias("level"))
 
 
 def _measured(df: DataFrame, text: str, stratum: str, *more: Column) -> DataFrame:
@@ -100,10 +106,8 @@ def _measured(df: DataFrame, text: str, stratum: str, *more: Column) -> DataFram
 
 
 def _verdict(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    rejects = F.lit(False)
-    for r in RULES:
-        rejects = rejects | F.coalesce(F.col(r) >= F.col(f"{r}_cutoff"), F.lit(False))
-    return measured.join(limits, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejects).drop(*[f"{r}_cutoff" for r in RULES])
+    kept = ~F.col("base_failed") & ~F.coalesce(badness() >= F.col("level"), F.lit(False))
+    return measured.join(limits, "stratum", "left").withColumn("kept", kept).drop("level")
 
 
 def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
@@ -118,15 +122,15 @@ def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def keep(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """The rows of ``df`` that judge() keeps, all columns as they were. Texts are measured twice rather than shuffled."""
-    limits = cut(cutoffs(cut(_measured(df, text, stratum, F.col(key).alias("doc_id"))), labels))
-    measured = _measured(df, text, stratum, F.struct(*df.columns).alias("row"))
-    # A generator of one row, below which no filter is pushed: else every condition would measure the texts anew.
-    measured = measured.select("row", "stratum", F.inline(F.array(F.struct("base_failed", *RULES))))
-    return _verdict(measured, limits).where("kept").select("row.*")
+    """The rows of ``df`` that judge() keeps, all columns as they were, whatever their names. Rows are written with what was measured of
+    them, as measuring costs far more than writing."""
+    measured = _measured(df, text, stratum, F.col(key).alias("doc_id"), F.struct(*df.columns).alias("row"))
+    measured = cut(measured.select("doc_id", "row", "stratum", "base_failed", *RULES))
+    return _verdict(measured, cut(cutoffs(measured, labels))).where("kept").select("row.*")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of judge() for every document, labels being the holdout."""
     judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -142,12 +146,12 @@ c AS (SELECT rid, doc_id, stratum, len(w)::BIGINT AS n_words, len(array_to_strin
   coalesce(n_repeat_words, 0) AS n_repeat_words, len(regexp_replace(t, '[^A-Z]+', '', 'g')) AS n_upper, len(regexp_replace(t, '[^!]+', '', 'g')) AS n_bang FROM l LEFT JOIN r USING (rid)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN least(1.0::DOUBLE, n_symbols / word_chars) ELSE 0 END AS symbol_share, CASE WHEN n_lines > 0 THEN least(1.0::DOUBLE, n_dup_lines / n_lines) ELSE 0 END AS dup_line_share,
   CASE WHEN n_words > 0 THEN least(1.0::DOUBLE, n_repeat_words / n_words) ELSE 0 END AS repeat_share, CASE WHEN word_chars > 0 THEN least(1.0::DOUBLE, n_upper / word_chars) ELSE 0 END AS upper_share, CASE WHEN n_words > 0 THEN least(1.0::DOUBLE, n_bang / n_words) ELSE 0 END AS bang_share FROM c),
-u AS (SELECT rid, doc_id, stratum, base_failed, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'upper_share', 'bang_share']) AS rule, unnest([symbol_share, dup_line_share, repeat_share, upper_share, bang_share]) AS share FROM f),
+u AS (SELECT rid, doc_id, stratum, base_failed, least(1.0::DOUBLE, greatest(symbol_share * 3.0::DOUBLE, dup_line_share, repeat_share, upper_share * 1.5::DOUBLE, bang_share)) AS share FROM f),
 h AS (SELECT u.*, k.quality, floor(share * 50)::INT AS bin FROM u JOIN (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) k USING (doc_id) WHERE NOT base_failed),
-n AS (SELECT stratum, rule, count_if(quality = 1)::DOUBLE AS n FROM h GROUP BY ALL),
-j AS (SELECT stratum, rule, n, j, coalesce((SELECT count_if(quality = 1) FROM h WHERE h.stratum = n.stratum AND h.rule = n.rule AND bin >= j), 0) AS good, coalesce((SELECT count_if(quality <> 1) FROM h WHERE h.stratum = n.stratum AND h.rule = n.rule AND bin >= j), 0) AS bad FROM n, (SELECT unnest(range(1, 51)) AS j)),
-p AS (SELECT *, CASE WHEN n = 0 THEN 1 ELSE list_sum(list_transform(range(0, good::BIGINT + 1), lambda k: exp(lgamma(n + 1) - (CASE WHEN k = 0 THEN 0 ELSE lgamma((k + 1)::DOUBLE) END) - (CASE WHEN k = n THEN 0 ELSE lgamma((n - k + 1)::DOUBLE) END) + k * ln(0.004::DOUBLE) + (n - k) * ln(0.996::DOUBLE)))) END AS cdf FROM j WHERE bad - 20 * good > 0),
-b AS (SELECT stratum, rule, arg_max(j, (bad - 20 * good, j)) / 50 AS cutoff FROM p WHERE cdf <= 0.05 / (5 * (SELECT count(DISTINCT stratum) FROM n)) GROUP BY ALL),
-x AS (SELECT DISTINCT rid FROM u JOIN b ON u.stratum = b.stratum AND u.rule = b.rule WHERE share >= cutoff)
+n AS (SELECT stratum, count_if(quality = 1)::DOUBLE AS n FROM h GROUP BY ALL),
+j AS (SELECT stratum, n, j, coalesce((SELECT count_if(quality = 1) FROM h WHERE h.stratum = n.stratum AND bin >= j), 0) AS good, coalesce((SELECT count_if(quality <> 1) FROM h WHERE h.stratum = n.stratum AND bin >= j), 0) AS bad FROM n, (SELECT unnest(range(1, 51)) AS j)),
+p AS (SELECT *, CASE WHEN n = 0 THEN 1 ELSE list_sum(list_transform(range(0, good::BIGINT + 1), lambda k: exp(lgamma(n + 1) - (CASE WHEN k = 0 THEN 0 ELSE lgamma((k + 1)::DOUBLE) END) - (CASE WHEN k = n THEN 0 ELSE lgamma((n - k + 1)::DOUBLE) END) + k * ln(0.02::DOUBLE) + (n - k) * ln(0.98::DOUBLE)))) END AS cdf FROM j WHERE bad - 20 * good > 0),
+b AS (SELECT stratum, arg_max(j, (bad - 20 * good, j)) / 50 AS level FROM p WHERE cdf <= 0.05 / (SELECT count(*) FROM n) GROUP BY ALL),
+x AS (SELECT DISTINCT rid FROM u JOIN b ON u.stratum = b.stratum WHERE share >= level)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.rid IS NULL AS kept FROM f LEFT JOIN x USING (rid)
 """
