@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import cut, held_out, table
 
 # Families of ISO 639-1 codes. Other codes are a family together.
 FAMILIES = {
@@ -33,8 +33,8 @@ FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.s
 
 #: Hashed character n-grams of 1 to 3, and characters hashed at a time.
 FEATURES, CHUNK = 4096, 1 << 20
-#: Bounds of the training sample: rows altogether, and the most frequent languages that are learned.
-TRAIN_ROWS, TRAIN_LANGS = 4000, 100
+#: Bounds of the training sample: rows altogether, dealt evenly to the languages, but so many for each at least.
+TRAIN_ROWS, LEAST_ROWS = 4000, 20
 
 
 @cache
@@ -134,20 +134,26 @@ class Hierarchy:
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", most: int = TRAIN_ROWS) -> Hierarchy | None:
     """A model of at most about ``most`` rows of ``rows`` with a text that has letters and a language, drawn by a hash of ``key``.
 
-    Every language gets an even part of ``most``; rare ones give all they have. Beyond the TRAIN_LANGS most frequent languages
-    none is learned. None if there is nothing to learn from.
+    Every language that has rows is learned: each gives an even part of ``most``, or LEAST_ROWS if that is more, and rare ones all
+    they have. So the sample has at most about max(``most``, LEAST_ROWS * languages) rows. None if there is nothing to
+    learn from.
     """
     rows = rows.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TRAIN_LANGS).collect()}
-    if not sizes:
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = cut(sizes)
+    langs = sizes.count()
+    if not langs:
         return None
-    part = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, int(min(1.0, most / len(sizes) / n) * 1e6))])
+    wanted = max(most / langs, LEAST_ROWS)
+    # Draws vary: three standard deviations more, so that no language is left out by chance.
+    rate = F.lit(float(wanted + 3 * wanted**0.5)) / F.col("n")
+    draw = F.shiftrightunsigned(F.xxhash64("key", F.lit(1)), 11) * 2.0**-53  # uniform in [0, 1)
 
     @F.pandas_udf("binary")  # half precision: the sample is what the driver holds
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else x.astype(np.float16).tobytes() for x in map(features, texts)])
 
-    drawn = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000)) < F.element_at(part, F.col("lang"))).select("lang", of("text").alias("x")).where("x is not null").collect()
+    drawn = rows.join(sizes, "lang").where(draw < rate).select("lang", of("text").alias("x")).where("x is not null").collect()
     if not drawn:
         return None
     x = np.stack([np.frombuffer(r.x, np.float16) for r in drawn]).astype(np.float32)
@@ -155,16 +161,21 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 
 def identified(df: DataFrame, model: Hierarchy | None, text: str = "text") -> DataFrame:
-    """``df`` with lang_pred and score (0 to 1): `und` and 0 for texts that are null or have no letter, or if there is no model."""
+    """``df`` with lang_pred and score (0 to 1): `und` and 0 for texts that are null or have no letter, or if there is no model.
+
+    Columns of these names that ``df`` has are replaced; all others stay. Repeated rows stay, an empty table gives an empty one.
+    """
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(x) if model else ("und", 0.0) for x in texts], columns=["lang_pred", "score"])
 
-    return df.withColumn("__lang", of(F.col(text))).withColumns({"lang_pred": F.col("__lang.lang_pred"), "score": F.col("__lang.score")}).drop("__lang")
+    kept = [F.col(c) for c in df.columns if c not in ("lang_pred", "score")]
+    return df.select(F.struct(*kept).alias("row"), of(F.col(text)).alias("found")).select("row.*", "found.*")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document, by a model of those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out("doc_id")))
     return identified(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), model).drop("text")

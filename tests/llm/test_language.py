@@ -40,3 +40,18 @@ def test_chunks_of_long_texts_count_the_same(monkeypatch):
     whole = language.features(text)
     monkeypatch.setattr(language, "CHUNK", 37)
     assert abs(language.features(text) - whole).max() < 1e-12
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    """Few rows altogether: each of many languages gives LEAST_ROWS or all it has, whatever the most frequent one has."""
+    monkeypatch.setattr(language, "LEAST_ROWS", 3)
+    r = random.Random(5)
+    own = {f"l{k}": [f"{chr(97 + k)}{c}" for c in "aeiou"] for k in range(12)}
+    rows = [(i, " ".join(r.choices(own["l0"], k=30)), "l0") for i in range(1500)]
+    rows += [(10_000 + 10 * k + j, " ".join(r.choices(own[f"l{k}"], k=30)), f"l{k}") for k in range(1, 12) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, most=12)
+    assert set(model.within["other"].classes) == set(own)
+    got = language.identified(df.where("doc_id >= 10000").withColumn("lang_pred", df["doc_id"]), model).collect()
+    assert sum(x.lang_pred == x.lang for x in got) >= 20
+    assert language.identified(df.limit(0), model).count() == 0
