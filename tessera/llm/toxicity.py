@@ -20,6 +20,7 @@ LEET = str.maketrans("013457@$!|", "oieastasil")
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 MIXED = re.compile(r"[^\W\d_][^\s]*[0-9@$*!|_#][^\s]*[^\W\d_]")
+ODD = re.compile(r"[0-9@$*!|_#]")
 SHOUT, MARKS = re.compile(r"\b[A-Z]{3,}\b"), re.compile(r"[!?]")
 NAMES = ("seed", "learned", "both_log", "distinct_log", "share_of_hits", "near_you", "you", "capitals", "shouts", "marks", "mixed", "hidden", "length_log")
 #: Words around a word of abuse within which one of address counts.
@@ -39,38 +40,64 @@ def stems(word: str) -> list[str]:
 
 
 class Lexicon(dict):
-    """Learned stems with their log-odds; a word weighs as its heaviest stem, 0 if none is known."""
+    """Learned stems with their log-odds; a word weighs as its heaviest stem, 0 if none is known.
+
+    ``kinds`` has a number for every word met so far: 0 for most, else a row of ``traits`` (seed, weight, address). So what a word is
+    is found out once, and looked up from then on.
+    """
 
     def __init__(self, known: dict[str, float]):
         super().__init__(known)
         self.begins = {k[:4] for k in known}
+        self.kinds, self.traits, self.rows = _Kinds(self), [(0.0, 0.0, 0.0)], {(0.0, 0.0, 0.0): 0}
+
+    def __reduce__(self):
+        return Lexicon, (dict(self),)
 
     def weight(self, word: str) -> float:
         return max(map(self.get, stems(word), [0.0] * 6), default=0.0) if word[:4] in self.begins else 0.0
 
+    def row(self, word: str) -> int:
+        traits = (float(word in ABUSE), self.weight(word), float(word in YOU))
+        if traits not in self.rows:
+            self.rows[traits] = len(self.traits)
+            self.traits.append(traits)
+        return self.rows[traits]
+
+
+class _Kinds(dict):
+    """Fills itself; starts anew when it has grown, as a corpus has any number of words."""
+
+    MOST = 1 << 18
+
+    def __init__(self, lexicon: Lexicon):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        found = self[word] = self.lexicon.row(word)
+        return found
+
 
 def features(text: str | None, learned: Lexicon) -> tuple[float, ...]:
     """NAMES of a whole text: densities by word or character, counts as logarithms. All 0 for a text without words or characters."""
     text = text or ""
     words = words_of(text)
     n, chars = max(1, len(words)), max(1, len(text))
-    seed = [i for i, w in enumerate(words) if w in ABUSE]
-    begins = learned.begins
-    weights = {i: v for i, w in enumerate(words) if w[:4] in begins and (v := learned.weight(w))}
-    you = [i for i, w in enumerate(words) if w in YOU]
-    hits = sorted({*seed, *weights})
-    near = 0
-    if hits and you:
-        at, to = np.array(you), np.array(hits)
-        near = int((np.searchsorted(at, to + NEAR, "right") > np.searchsorted(at, to - NEAR)).sum())
-    mixed = MIXED.findall(text)
+    kinds = np.fromiter(map(learned.kinds.__getitem__, words), np.int64, len(words))
+    marked = np.flatnonzero(kinds)
+    seed, weight, you = np.array(learned.traits)[kinds[marked]].T if len(marked) else np.zeros((3, 0))
+    hits, at = marked[(seed > 0) | (weight > 0)], marked[you > 0]
+    near = int((np.searchsorted(at, hits + NEAR, "right") > np.searchsorted(at, hits - NEAR)).sum()) if len(hits) and len(at) else 0
+    mixed = MIXED.findall(text) if ODD.search(text) else []
     hidden = 0
     for x in mixed:
         plain = x.lower().translate(LEET)
         hidden += any(w in ABUSE or learned.weight(w) for w in (*WORD.findall(plain), re.sub(r"[\W\d_]", "", plain)))
     upper = sum(map(len, SHOUT.findall(text)))
-    weight = sum(weights.values())
-    return (len(seed) / n, weight / n, float(np.log1p(len(hits) + hidden)), float(np.log1p(len({words[i] for i in hits}))), len(hits) / n, near / n, len(you) / n, sum(map(str.isupper, text)) / chars if upper else 0.0, upper / chars, len(MARKS.findall(text)) / n, len(mixed) / n, hidden / n, float(np.log1p(len(words))))
+    return (seed.sum() / n, weight.sum() / n, float(np.log1p(len(hits) + hidden)), float(np.log1p(len({words[i] for i in hits.tolist()}))), len(hits) / n, near / n, len(at) / n, sum(map(str.isupper, text)) / chars if upper else 0.0, upper / chars, len(MARKS.findall(text)) / n, len(mixed) / n, hidden / n, float(np.log1p(len(words))))
 
 
 @dataclass
@@ -168,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model | N
     if not all(sizes.get(k) for k in (0, 1)):
         return None
     share = {k: min(1.0, most / sizes[k]) for k in (0, 1)}
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1_000_000)) < F.when(F.col("toxic") == 1, int(share[1] * 1e6)).otherwise(int(share[0] * 1e6)))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(2)), 11) * 2.0**-53  # uniform in [0, 1)
+    drawn = known.where(place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
     # At most a few thousand ids, written so that the planner knows.
     drawn = cut(drawn.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3))))
     texts = docs.select("doc_id", "text").join(drawn, "doc_id")
@@ -199,7 +227,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model | N
 
 
 def scored(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``df`` with score (0 to 1) and predicted (1 from a score of 0.5); null texts score as empty ones; 0 without a model."""
+    """``df`` with score (0 to 1) and predicted (1 from a score of 0.5); null texts score as empty ones; 0 without a model.
+
+    Columns of these names that ``df`` has are replaced; all others stay. Repeated rows stay, an empty table gives an empty one.
+    """
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
@@ -209,6 +240,7 @@ def scored(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document, by a model of labels that aren't held out."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
     return scored(docs.select("doc_id", held_out("doc_id").alias("held_out"), "text"), model).drop("text")

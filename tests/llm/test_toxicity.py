@@ -62,3 +62,20 @@ def test_features():
     row = dict(zip(toxicity.NAMES, toxicity.features("You IDIOT! snarlow id1ot ok", lexicon), strict=True))
     assert row["seed"] > 0 and row["learned"] > 0 and row["near_you"] > 0 and row["shouts"] > 0 and row["hidden"] > 0
     assert set(toxicity.features(None, lexicon)) == {0.0}
+
+
+def test_clashing_columns_ties_and_empty_tables(spark):
+    learned = toxicity.Lexicon({"snarl*": 2.0})
+    model = toxicity.Model(learned, toxicity.Boosted(), (np.array([-1.0, 1.0]), np.array([0.2, 0.8])))
+    df = spark.createDataFrame([(1, "you snarler", 9.0, "x"), (1, "you snarler", 9.0, "x"), (2, None, 9.0, "x")], "doc_id long, text string, score double, predicted string")
+    got = toxicity.scored(df, model).orderBy("doc_id").collect()
+    assert [(x.doc_id, x.predicted) for x in got] == [(1, 1), (1, 1), (2, 1)] and len({x.score for x in got}) == 1
+    assert toxicity.scored(df.limit(0), model).count() == 0
+
+
+def test_features_are_the_same_however_many_words_are_known(monkeypatch):
+    learned = toxicity.Lexicon({"snarl*": 2.0, "grub": 3.0})
+    text = "You snarling IDIOT, you gr4b! " + " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)) + " grub you"
+    first = toxicity.features(text, learned)
+    monkeypatch.setattr(toxicity._Kinds, "MOST", 10)
+    assert toxicity.features(text, learned) == first == toxicity.features(text, toxicity.Lexicon(dict(learned)))
