@@ -18,6 +18,8 @@ from .common import table
 
 #: Characters of a leaf: longer texts are cut.
 LEAF = 1 << 14
+#: Threads that encode the halves of a text.
+THREADS = 2
 #: Characters around a place that decide whether pieces end there: a special token's length at least.
 MARGIN = 16
 #: Below this code point both encoders were compared, all characters, and agree.
@@ -78,7 +80,11 @@ class Bpe:
         """The library's ids of texts, each in one go. Latin text without special tokens takes the faster encoder of equal results."""
         hard = [i for i, x in enumerate(texts) if not (x.isascii() or max(x) < LATIN) or any(s in x for s in self.special)]
         done = dict(zip(hard, (e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in hard], add_special_tokens=False)), strict=True)) if hard else {}
-        return [done[i] if i in done else self.plain.encode_ordinary(x) for i, x in enumerate(texts)]
+        easy = [x for i, x in enumerate(texts) if i not in done]
+        # Several long ones, as the leaves of a tree are, go to threads together.
+        many = len(easy) > 1 and sum(map(len, easy)) > self.leaf
+        rest = iter(self.plain.encode_ordinary_batch(easy, num_threads=THREADS) if many else map(self.plain.encode_ordinary, easy))
+        return [done[i] if i in done else next(rest) for i in range(len(texts))]
 
     def pieces(self, text: str) -> list[tuple[int, bool]]:
         """Bytes of each piece and whether it is a special token."""
@@ -249,5 +255,6 @@ def encoded(df: DataFrame, fields: tuple[str, ...] = ("ids",), text: str = "text
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of tokens and digests of every document's ids and of the text that they decode to."""
     fields = ("n_tokens", "ids_sha256", "decoded_sha256")
     return encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), fields, keep_text=False)

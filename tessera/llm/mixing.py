@@ -86,6 +86,7 @@ def repeated(df: DataFrame, text: str = "text", **how) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What mix() takes of every document, by words."""
     # Written first: the texts are read once.
     docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", words_in("text").alias("size")))
     return mix(docs, F.col("size")).select("row.doc_id", "size", "source_size", "target", "taken")

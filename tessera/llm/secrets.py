@@ -187,6 +187,7 @@ def redacted(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE +
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base rules, a digest of their spans, and the spans of all rules, for every document."""
     rules, base = BASE + MORE, len(BASE)
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), rules=rules)
     number = lambda i: F.size(F.filter("spans", lambda x: x["rank"] == i)).cast("long")

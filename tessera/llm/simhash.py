@@ -123,5 +123,6 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints in hexadecimal and components of near_groups() of all documents."""
     groups = near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
