@@ -12,43 +12,47 @@ from .base import Estimator
 
 
 class KMeans(Estimator):
-    """Centres with the least sum of squared distances of ``nInit`` runs. Start: k-means++ (on a bounded sample of rows), random
-    rows, or given centres. An empty cluster keeps its centre. Ties go to the lower number."""
+    """Centres with the least sum of squared distances of ``nInit`` runs. Start: k-means++ or random rows, drawn from all rows, or
+    given centres. An empty cluster keeps its centre. Ties go to the lower number."""
 
     defaults = {"nClusters": 8, "init": "k-means++", "nInit": 10, "maxIter": 300, "tol": 1e-4, "randomState": 0, "algorithm": "lloyd", "verbose": False}
-    #: Rows from which k-means++ and random starts are drawn.
-    SAMPLE = 10_000
 
     def fit(self, df: DataFrame, features: list[str]) -> KMeans:
         self.features_ = list(features)
-        rows = cut(df.select(F.array(*[ew.num(c) for c in features]).alias("x")))
-        n = rows.count()
-        if n < self.nClusters:
+        # Copies of a row have numbers of their own, so that each is drawn for itself; written, so that the numbers stay.
+        rows = cut(df.select(F.array(*[ew.num(c) for c in features]).alias("x"), F.monotonically_increasing_id().alias("id")))
+        if rows.count() < self.nClusters:
             raise ValueError("fewer rows than clusters")
         best = None
         given = not isinstance(self.init, str)
-        sample = None if given else np.array([r.x for r in rows.orderBy(F.xxhash64("x", F.lit(self.randomState))).limit(self.SAMPLE).collect()])
         for run in range(1 if given else self.nInit):
-            centres = np.array(self.init, float) if given else self._start(sample, np.random.default_rng(self.randomState + run))
+            centres = np.array(self.init, float) if given else self._start(rows, self.randomState + run)
             found = self._lloyd(rows, centres)
             if best is None or found[1] < best[1]:
                 best = found
         self.clusterCenters_, self.inertia_, self.nIter_ = best
         return self
 
-    def _start(self, sample: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        if self.init == "random":
-            return sample[rng.choice(len(sample), self.nClusters, replace=False)]
-        if self.init != "k-means++":
+    def _start(self, rows: DataFrame, seed: int) -> np.ndarray:
+        """Rows drawn by the least exponential keys, -ln(u) / weight: one pass over all rows for each centre, a few rows come back.
+
+        Weights are even for random starts (all centres in one pass), and squared distances to the nearest centre so far for k-means++;
+        where all of those are 0, even again.
+        """
+        if self.init not in ("random", "k-means++"):
             raise ValueError(f"unknown start {self.init!r}")
-        chosen = [sample[rng.integers(len(sample))]]
-        distance = ((sample - chosen[0]) ** 2).sum(axis=1)
+
+        def key(step: int) -> Column:
+            return -F.ln((F.shiftrightunsigned(F.xxhash64("id", F.lit(seed), F.lit(step)), 12) + 0.5) * 2.0**-52)
+
+        if self.init == "random":
+            return np.array([r.x for r in rows.orderBy(key(0), "id").limit(self.nClusters).collect()], float)
+        chosen = [rows.agg(F.min_by("x", F.struct(key(0), F.col("id"))).alias("x")).first().x]
         while len(chosen) < self.nClusters:
-            total = distance.sum()
-            p = distance / total if total > 0 else None
-            chosen.append(sample[rng.choice(len(sample), p=p)])
-            distance = np.minimum(distance, ((sample - chosen[-1]) ** 2).sum(axis=1))
-        return np.array(chosen)
+            far = rows.withColumn("d", nearest(F.col("x"), np.array(chosen, float))["d"])
+            place = F.struct(F.when(F.col("d") > 0, key(len(chosen)) / F.col("d")).otherwise(ew.INF), key(len(chosen)), F.col("id"))
+            chosen.append(far.agg(F.min_by("x", place).alias("x")).first().x)
+        return np.array(chosen, float)
 
     def _lloyd(self, rows: DataFrame, centres: np.ndarray) -> tuple[list, float, int]:
         before, f = None, centres.shape[1]

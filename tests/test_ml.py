@@ -82,6 +82,18 @@ def test_kmeans(spark):
     np.testing.assert_allclose(fixed.clusterCenters_, [np.mean([points[i] for i in (0, 1, 4, 6, 7)], 0), np.mean([points[i] for i in (2, 3, 5)], 0)])
 
 
+@pytest.mark.parametrize("init", ["k-means++", "random"])
+def test_starts_are_drawn_from_all_rows(spark, init):
+    """One vector has most of the rows; still the far ones are found, and a random start draws copies for themselves."""
+    rows = [(0.0, 0.0)] * 3000 + [(50.0 + i % 3, 50.0) for i in range(30)] + [(-50.0, 50.0 + i % 3) for i in range(30)]
+    df = spark.createDataFrame(rows, "a double, b double").repartition(4)
+    m = KMeans(nClusters=3, nInit=1 if init == "k-means++" else 2, init=init, randomState=1, maxIter=5).fit(df, ["a", "b"])
+    if init == "k-means++":
+        assert sorted(round(c[0]) for c in m.clusterCenters_) == [-50, 0, 51]
+    else:
+        assert m.inertia_ > 0 and [0.0, 0.0] in m.clusterCenters_
+
+
 def test_networks(frame):
     out = StandardScaler().fitTransform(frame, ["a", "b", "c"])
     m = MLPClassifier(hiddenLayerSizes=(8,), learningRateInit=0.05, maxIter=60).fit(out, ["a", "b", "c"], "k")
