@@ -955,6 +955,29 @@ def estimators(given):
     }
 
 
+# The xorshift sequence of a seed, stepped through in SQL.
+
+_STEPS_OF = "(WITH RECURSIVE z AS (SELECT 0::BIGINT AS k, 12345::BIGINT AS s UNION ALL SELECT k + 1, xor(b, (b << 5) & 4294967295) FROM (SELECT k, xor(a, a >> 17) AS b FROM (SELECT k, xor(s, (s << 13) & 4294967295) AS a FROM z WHERE k < 60))) SELECT k - 1 AS k, s / 4294967295::DOUBLE AS u FROM z WHERE k > 0)"
+
+
+@listing(
+    {
+        "rand": f"SELECT k AS i0, 0 AS i1, u AS v FROM {_STEPS_OF} WHERE k < 20",
+        "uniform": f"SELECT k - 20 AS i0, 0 AS i1, u * 6 - 2 AS v FROM {_STEPS_OF} WHERE k BETWEEN 20 AND 29",
+        "randint": f"SELECT k - 30 AS i0, 0 AS i1, floor(u * 100) + 5 AS v FROM {_STEPS_OF} WHERE k BETWEEN 30 AND 39",
+        "randn": f"SELECT a.k - 40 + j AS i0, 0 AS i1, sqrt(-2 * ln(a.u)) * CASE j WHEN 0 THEN cos(2 * pi() * b.u) ELSE sin(2 * pi() * b.u) END AS v FROM {_STEPS_OF} a JOIN {_STEPS_OF} b ON b.k = a.k + 1, (SELECT unnest([0, 1]) AS j) WHERE a.k BETWEEN 40 AND 48 AND a.k % 2 = 0",
+        "normal": f"SELECT a.k - 50 + j AS i0, 0 AS i1, 3 + 2 * sqrt(-2 * ln(a.u)) * CASE j WHEN 0 THEN cos(2 * pi() * b.u) ELSE sin(2 * pi() * b.u) END AS v FROM {_STEPS_OF} a JOIN {_STEPS_OF} b ON b.k = a.k + 1, (SELECT unnest([0, 1]) AS j) WHERE a.k BETWEEN 50 AND 56 AND a.k % 2 = 0",
+    },
+    also="seed random standardNormal random_seed",
+)
+def sequences(given):
+    s = given.spark
+    api.seed(12345, sequence=True)
+    found = {"rand": api.rand(s, (20,)), "uniform": api.uniform(s, -2, 4, (10,)), "randint": api.randint(s, 5, 105, (10,)), "randn": api.randn(s, (10,)), "normal": api.normal(s, 3, 2, (8,))}
+    api.seed(0)
+    return found
+
+
 # Names under which operations are known as well.
 
 

@@ -13,13 +13,38 @@ from pyspark.sql import functions as F
 from ..functions import elementwise as ew
 from ..plans.order import ranked
 from ..plans.tensor import Tensor, coordinates, normal_shape
+from . import xorshift
 
-_state = {"seed": 0, "draws": 0}
+_state = {"seed": 0, "draws": 0, "sequence": False}
 
 
-def seed(s: int) -> None:
-    """The seed of draws that are given none; draw after draw they use the numbers that follow."""
-    _state.update(seed=int(s), draws=0)
+def seed(s: int, sequence: bool = False) -> None:
+    """The seed of draws that are given none; draw after draw they use the numbers that follow.
+
+    With ``sequence``, rand, uniform, randint, randn and normal (and their other names) take them from the 32-bit xorshift sequence of
+    the seed, one after the other: the same numbers as array packages that step through it. Its period is 2^32 - 1, which is too
+    short for very large tensors; so hashes of positions are the default, and what other draws use in any case.
+    """
+    _state.update(seed=int(s), draws=0, sequence=sequence)
+
+
+def _stepped(spark: SparkSession, shape, value: Callable[[Callable[[Column], Column], Column], Column], dtype: str, per: int = 1) -> Tensor:
+    """A tensor of the sequence: ``value`` gets the numbers by position and the element's position; the sequence moves on by what was used."""
+    shape, first, s = normal_shape(shape), _state["draws"], _state["seed"]
+    size = math.prod(shape)
+    _state["draws"] = first + (size + per - 1) // per * per
+    df = spark.range(size).select(*coordinates(F.col("id"), shape), ew.num(value(lambda p: xorshift.unit(p + first, s), F.col("id"))).alias("v"))
+    out = Tensor(df, shape)
+    return out if dtype == "float64" else out.map(lambda v: v, dtype)
+
+
+def _pairs(u: Callable[[Column], Column], i: Column) -> Column:
+    """Standard normal by Box and Muller: an even element and the odd one after it are cosine and sine of one pair of numbers."""
+    even = i - i % 2
+    first = u(even)
+    size = F.sqrt(-2 * F.ln(F.when(first == 0, 1e-10).otherwise(first)))
+    turn = 2 * math.pi * u(even + 1)
+    return size * F.when(i % 2 == 0, F.cos(turn)).otherwise(F.sin(turn))
 
 
 randomSeed = seed
@@ -49,7 +74,13 @@ def _drawn(spark: SparkSession, shape, value: Callable[[Column, int], Column], g
     return out if dtype == "float64" else out.map(lambda v: v, dtype)
 
 
+def _in_sequence(seed: int | None) -> bool:
+    return seed is None and _state["sequence"]
+
+
 def rand(spark: SparkSession, shape, dtype: str = "float64", seed: int | None = None) -> Tensor:
+    if _in_sequence(seed):
+        return _stepped(spark, shape, lambda u, i: u(i), dtype)
     return _drawn(spark, shape, unit, seed, dtype)
 
 
@@ -57,6 +88,8 @@ random = rand
 
 
 def randn(spark: SparkSession, shape, dtype: str = "float64", seed: int | None = None) -> Tensor:
+    if _in_sequence(seed):
+        return _stepped(spark, shape, _pairs, dtype, 2)
     return _drawn(spark, shape, gauss, seed, dtype)
 
 
@@ -64,15 +97,21 @@ standardNormal = randn
 
 
 def normal(spark, loc: float, scale: float, shape, dtype: str = "float64", seed: int | None = None) -> Tensor:
+    if _in_sequence(seed):
+        return _stepped(spark, shape, lambda u, i: _pairs(u, i) * scale + loc, dtype, 2)
     return _drawn(spark, shape, lambda i, s: loc + scale * gauss(i, s), seed, dtype)
 
 
 def randint(spark, low: int, high: int, shape, dtype: str = "float64", seed: int | None = None) -> Tensor:
-    """Whole numbers from ``low`` up to, not including, ``high``."""
+    """Whole numbers from ``low`` up to, not including, ``high``; in a sequence, ``high`` itself once in 2^32 draws."""
+    if _in_sequence(seed):
+        return _stepped(spark, shape, lambda u, i: F.floor(u(i) * (high - low)) + low, dtype)
     return _drawn(spark, shape, lambda i, s: F.floor(unit(i, s) * (high - low)) + low, seed, dtype)
 
 
 def uniform(spark, low: float, high: float, shape, dtype: str = "float64", seed: int | None = None) -> Tensor:
+    if _in_sequence(seed):
+        return _stepped(spark, shape, lambda u, i: u(i) * (high - low) + low, dtype)
     return _drawn(spark, shape, lambda i, s: low + (high - low) * unit(i, s), seed, dtype)
 
 

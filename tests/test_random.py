@@ -79,3 +79,28 @@ def test_permutations_and_choices(spark):
     got = nn.multinomial(weights, 200, True, seed=1).numpy()
     assert set(got[0]) == {1.0, 2.0} and set(got[1]) == {0.0}
     assert set(nn.multinomial(api.array(spark, [0.0, 1, 2]), 2, False, seed=1).numpy()) == {1.0, 2.0}
+
+
+def test_xorshift_sequences(spark, monkeypatch):
+    """Jumps against steps one by one, over several blocks, and across draws."""
+    from tessera.sources import xorshift
+
+    monkeypatch.setattr(xorshift, "BLOCK", 16)
+    x, want = 98765, []
+    for _ in range(100):
+        x ^= (x << 13) & 0xFFFFFFFF
+        x ^= x >> 17
+        x ^= (x << 5) & 0xFFFFFFFF
+        want.append(x / 0xFFFFFFFF)
+    assert xorshift.jumped(98765, 100) == x
+    far = xorshift.jumped(98765, (1 << 32) - 1)  # the period
+    assert far == 98765
+    api.seed(98765, sequence=True)
+    try:
+        got = api.rand(spark, (7, 5)).numpy().ravel().tolist() + api.rand(spark, (40,)).numpy().tolist()
+        assert got == want[:75] and api.randint(spark, 0, 10, (3,)).numpy().tolist() == [int(v * 10) for v in want[75:78]]
+    finally:
+        api.seed(0)
+    api.seed(0, sequence=True)
+    assert api.rand(spark, (1,)).item() == xorshift.run(1, 0)[0] / 0xFFFFFFFF
+    api.seed(0)
