@@ -149,22 +149,28 @@ def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return whole.groupBy("key").agg(F.bit_or(F.get(F.array(*[F.lit(b).cast("long") for b, _ in clauses]), F.col("clause"))).alias("rules"))
 
 
-def scan(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE + MORE, to: str = "spans") -> DataFrame:
-    """``df`` with ``to``: array of (start, rank, end) of all rules' spans in ``text``, by start, then by the rule's rank.
-
-    Rules with a trigram query are matched against its candidates only, the others against every text. A null text has no
-    spans, nor has an empty one. Rows may repeat; other columns stay as they are.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
+def _scanned(df: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(row: what ``df`` has, spans): nothing of ``df`` stands beside what the scan adds, so names can't clash."""
+    rows = df.select(F.struct(*df.columns).alias("row"))
+    body = F.coalesce(F.col("row")[text], F.lit(""))
     # Written, so that its size is known: few candidates are broadcast; for many, texts and candidates are joined by shuffle.
-    found = cut(candidates(df.select(F.xxhash64(body).alias("key"), body.alias("text")), rules).withColumnRenamed("key", "__key"))
-    joined = df.join(found.withColumnRenamed("rules", "__rules"), F.xxhash64(body) == F.col("__key"), "left")
+    found = cut(candidates(rows.select(F.xxhash64(body).alias("key"), body.alias("text")), rules))
+    joined = rows.join(found, F.xxhash64(body) == F.col("key"), "left")
     none = F.array().cast("array<struct<start: int, rank: int, end: int>>")
     each = []
     for i, rule in enumerate(rules):
-        asked = F.coalesce(F.col("__rules"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0 if trigram_query(rule.pattern) else body.rlike(rule.pattern)
+        asked = F.coalesce(F.col("rules"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0 if trigram_query(rule.pattern) else body.rlike(rule.pattern)
         each.append(F.when(asked, spans(body, rule, i)).otherwise(none))
-    return joined.withColumn(to, F.array_sort(F.concat(*each))).drop("__key", "__rules")
+    return joined.select("row", F.array_sort(F.concat(*each)).alias("spans"))
+
+
+def scan(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE + MORE, to: str = "spans") -> DataFrame:
+    """``df`` with ``to``: array of (start, rank, end) of all rules' spans in ``text``, by start, then by the rule's rank.
+
+    Rules with a trigram query are matched against its candidates only, the others against every text. A null text has no
+    spans, nor has an empty one. Rows may repeat; other columns stay as they are, but one named ``to`` is replaced.
+    """
+    return _scanned(df, text, rules).select(*[F.col("row")[c].alias(c) for c in df.columns if c != to], F.col("spans").alias(to))
 
 
 def listed(found: Column, rules: tuple[Rule, ...]) -> Column:
@@ -177,13 +183,15 @@ def redacted(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE +
     """``df`` with every span in ``text`` replaced by its kind in brackets, one mask for each stretch of overlapping spans. Null stays null."""
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    whole = F.col("row")[text]
 
     def step(x: Column, s: Column) -> Column:
-        mask = F.when(s["start"] >= x["at"], F.concat(F.substring(F.col(text), x["at"] + 1, s["start"] - x["at"]), F.lit("["), F.get(kinds, s["rank"]), F.lit("]"))).otherwise("")
+        mask = F.when(s["start"] >= x["at"], F.concat(F.substring(whole, x["at"] + 1, s["start"] - x["at"]), F.lit("["), F.get(kinds, s["rank"]), F.lit("]"))).otherwise("")
         return F.struct(F.greatest(x["at"], s["end"]).alias("at"), F.concat(x["out"], mask).alias("out"))
 
-    masked = F.aggregate(F.col("__spans"), start, step, lambda x: F.concat(x["out"], F.substring(F.col(text), x["at"] + 1, F.lit(2**31 - 1))))
-    return scan(df, text, rules, "__spans").withColumn(text, F.when(F.size("__spans") > 0, masked).otherwise(F.col(text))).select(*df.columns)
+    masked = F.aggregate(F.col("spans"), start, step, lambda x: F.concat(x["out"], F.substring(whole, x["at"] + 1, F.lit(2**31 - 1))))
+    new = F.when(F.size("spans") > 0, masked).otherwise(whole)
+    return _scanned(df, text, rules).select(*[(new if c == text else F.col("row")[c]).alias(c) for c in df.columns])
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,3 +45,24 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_and_repeated_rows(spark, tmp_path):
+    """What documents have besides passes through the stages but the last as it is, whatever its name; nulls in any column, too."""
+    names = ["row", "kept", "level", "__gone", "spans", "__spans", "size", "k", "p", "base_failed", "stratum", "id", "fp", "rules", "__key"]
+    rows = [(*x, *[f"{n}{x[0]}" for n in names]) for x in documents(random.Random(2))]
+    rows += [rows[3], rows[3], (None, rows[5][1], None, None, None, *[None] * len(names))]
+    df = spark.createDataFrame(rows, COLUMNS + "".join(f", {n} string" for n in names))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == df.columns
+        for x in docs.collect():
+            assert all(x[n] == (None if x.doc_id is None else f"{n}{x.doc_id}") for n in names)
+        if name == "near_dedup":
+            ids = [x.doc_id for x in docs.collect()]
+            assert ids.count(3) == 3 and ids.count(None) == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
