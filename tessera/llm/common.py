@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.stage import cut
+from ..plans.stage import cut, discard
 
 #: ASCII white space separates words; everything else, other Unicode spaces included, belongs to words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -42,8 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         # Large-star: neighbours above a node go to its least neighbour.
-        now = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        discard(now, least)
         # Small-star: a node and its lower neighbours go to the least of them.
-        least = cut(now.groupBy("u").agg(F.min("v").alias("m")))
-        linked = now.join(least, "u")
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        linked = large.join(least, "u")
         now = cut(linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(large, least)
