@@ -91,7 +91,8 @@ def features(text: str | None, learned: Lexicon) -> tuple[float, ...]:
     seed, weight, you = np.array(learned.traits)[kinds[marked]].T if len(marked) else np.zeros((3, 0))
     hits, at = marked[(seed > 0) | (weight > 0)], marked[you > 0]
     near = int((np.searchsorted(at, hits + NEAR, "right") > np.searchsorted(at, hits - NEAR)).sum()) if len(hits) and len(at) else 0
-    mixed = MIXED.findall(text) if ODD.search(text) else []
+    # Only what stands between spaces and has an odd character is looked at closely.
+    mixed = [m[0] for x in text.split() if not x.isalpha() and ODD.search(x) and (m := MIXED.search(x))] if ODD.search(text) else []
     hidden = 0
     for x in mixed:
         plain = x.lower().translate(LEET)
