@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 from .common import cut, held_out, table
 
 # Words of abuse and of address to start from; more of the former are learned.
-ABUSE = frozenset("idiot idiots moron morons stupid dumb fool loser losers pathetic worthless clown scum trash garbage disgusting jerk imbecile ugly hate shut dumm dummkopf trottel blöd idiota estúpido estúpida imbécil tonto idiote stupide imbécile crétin".split())
-YOU = frozenset("you your you're youre yours yourself u ur du dich dir dein deine ihr sie tu te toi ton ta tes vous votre vos tú ti tus usted vosotros".split())
+ABUSE = frozenset((
+    "idiot", "idiots", "moron", "morons", "stupid", "dumb", "fool", "loser", "losers", "pathetic", "worthless",
+    "clown", "scum", "trash", "garbage", "disgusting", "jerk", "imbecile", "ugly", "hate", "shut", "dumm", "dummkopf",
+    "trottel", "blöd", "idiota", "estúpido", "estúpida", "imbécil", "tonto", "idiote", "stupide", "imbécile", "crétin",
+))
+YOU = frozenset((
+    "you", "your", "you're", "youre", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "deine", "ihr",
+    "sie", "tu", "te", "toi", "ton", "ta", "tes", "vous", "votre", "vos", "tú", "ti", "tus", "usted", "vosotros",
+))
 # Characters written for letters.
 LEET = str.maketrans("013457@$!|", "oieastasil")
 
