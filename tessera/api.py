@@ -33,8 +33,20 @@ from .plans.tensor import Tensor, elementwise
 from .sources import creation as _creation
 from .sources import random as _random
 
-UNARY = "sin cos tan arcsin arccos arctan sinh cosh tanh arcsinh arccosh arctanh exp exp2 expm1 log log2 log10 log1p sqrt cbrt abs absolute sign floor ceil trunc fix rint round around negative neg reciprocal square sinc deg2rad rad2deg heaviside signbit nanToNum real imag conj clip isnan isinf isfinite isneginf isposinf isreal logicalNot bitwiseNot".split()
-BINARY = "add subtract sub multiply mul divide div power pow floorDivide maximum minimum fmax fmin mod remainder fmod copysign hypot arctan2 logaddexp logaddexp2 ldexp nextafter gcd lcm addScalar subScalar mulScalar divScalar powScalar equal notEqual less lessEqual greater greaterEqual logicalAnd logicalOr logicalXor isclose bitwiseAnd bitwiseOr bitwiseXor leftShift rightShift".split()
+UNARY = (
+    "sin", "cos", "tan", "arcsin", "arccos", "arctan", "sinh", "cosh", "tanh", "arcsinh", "arccosh", "arctanh", "exp",
+    "exp2", "expm1", "log", "log2", "log10", "log1p", "sqrt", "cbrt", "abs", "absolute", "sign", "floor", "ceil",
+    "trunc", "fix", "rint", "round", "around", "negative", "neg", "reciprocal", "square", "sinc", "deg2rad",
+    "rad2deg", "heaviside", "signbit", "nanToNum", "real", "imag", "conj", "clip", "isnan", "isinf", "isfinite",
+    "isneginf", "isposinf", "isreal", "logicalNot", "bitwiseNot",
+)
+BINARY = (
+    "add", "subtract", "sub", "multiply", "mul", "divide", "div", "power", "pow", "floorDivide", "maximum", "minimum",
+    "fmax", "fmin", "mod", "remainder", "fmod", "copysign", "hypot", "arctan2", "logaddexp", "logaddexp2", "ldexp",
+    "nextafter", "gcd", "lcm", "addScalar", "subScalar", "mulScalar", "divScalar", "powScalar", "equal", "notEqual",
+    "less", "lessEqual", "greater", "greaterEqual", "logicalAnd", "logicalOr", "logicalXor", "isclose", "bitwiseAnd",
+    "bitwiseOr", "bitwiseXor", "leftShift", "rightShift",
+)
 
 
 def _one(f: Callable) -> Callable:
