@@ -248,7 +248,9 @@ addScalar, subScalar, mulScalar, divScalar, powScalar = add, subtract, multiply,
 
 @_on(2)
 def floorDivide(a, b):
-    return floor(divide(a, b))
+    """The quotient's floor; a zero keeps its sign."""
+    q = divide(a, b)
+    return F.when(q == 0, q).otherwise(floor(q))
 
 
 def _either_nan(a: Column, b: Column) -> Column:
@@ -284,9 +286,9 @@ def fmod(a, b):
 
 @_on(2)
 def mod(a, b):
-    """Remainder with the divisor's sign; NaN for a divisor of 0."""
+    """Remainder with the divisor's sign, zeros too; NaN for a divisor of 0."""
     r = fmod(a, b)
-    return F.when((r != 0) & ~F.isnan(r) & ((r < 0) != (b < 0)), r + b).otherwise(r)
+    return F.when(r == 0, F.signum(b) * 0.0).when((r != 0) & ~F.isnan(r) & ((r < 0) != (b < 0)), r + b).otherwise(r)
 
 
 remainder = mod

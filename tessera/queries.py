@@ -50,6 +50,11 @@ def rounded(t: Tensor | DataFrame, n: int = 6) -> DataFrame:
     return df.withColumn("v", r(F.col("v"), n))
 
 
+def signed(x: Column, n: int = 9) -> Column:
+    """Rounded, with the sign of zeros and of what is rounded to zero, which F.round drops."""
+    return F.when(r(x, n) == 0, x * 0.0).otherwise(r(x, n))
+
+
 def _listing(df: DataFrame, keys: list[str], exprs: dict[str, Column], n: int | None = 9) -> DataFrame:
     return df.select(*keys, *[(r(e, n) if n is not None else e).alias(k) for k, e in exprs.items()])
 
@@ -143,7 +148,7 @@ _BINARY = {"add": "a + b", "subtract": "a - b", "multiply": "a * b", "divide": "
 def binary_math(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem").select(*LINE, (F.col("l_quantity") - 25).alias("a"), F.round(F.col("l_discount") * 100 - 5).alias("b"))
     exprs = {k: getattr(ew, k)("a", "b") for k in _BINARY} | {"power": ew.power(F.abs("a"), F.abs("b")), "mod": ew.mod("a", 7), "fmod": ew.fmod("a", 7), "ldexp": ew.ldexp("a", 3)}
-    return _listing(df, LINE, exprs)
+    return _listing(df, LINE, {k: signed(e) for k, e in exprs.items()}, None)
 
 
 _PREDICATES = {"equal": "a = b", "notEqual": "a <> b", "less": "a < b", "lessEqual": "a <= b", "greater": "a > b", "greaterEqual": "a >= b", "logicalAnd": "a <> 0 AND b <> 0", "logicalOr": "a <> 0 OR b <> 0", "logicalXor": "(a <> 0) <> (b <> 0)"}

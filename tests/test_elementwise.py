@@ -106,3 +106,22 @@ def test_vectorize_and_nulls(spark):
     got = [r.y for r in df.select(ew.vectorize(lambda v: v + 1)("x").alias("y")).collect()]
     assert got[0] == 2.0 and math.isnan(got[1])
     assert math.isnan(df.where("x is null").select(ew.add("x", 1).alias("y")).first().y)
+
+
+def test_signs_of_zeros_in_binary_math(spark, tmp_path):
+    """Every row as text, which tells -0 from 0, against the query's SQL; and remainders against NumPy."""
+    import duckdb
+
+    from tessera import queries
+
+    rows = [(i, i % 7, i, i, 1.0 * i, float(q), d / 100) for i, (q, d) in enumerate((q, d) for q in range(1, 51) for d in range(11))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = db.execute(queries.SQL["binary_math"])
+    columns = [c[0] for c in want.description]
+    got = queries.binary_math(spark, str(tmp_path)).select(*columns).collect()
+    texts = lambda found: sorted(tuple("nan" if v != v else str(v) for v in x) for x in found)
+    assert texts(got) == texts(want.fetchall())
+    zeros = spark.createDataFrame([(-7.0, 7.0), (7.0, -7.0), (-0.0, 7.0), (0.0, -7.0)], "a double, b double").select(ew.mod("a", "b").alias("v"))
+    assert [math.copysign(1, x.v) for x in zeros.collect()] == [1, -1, 1, -1]
