@@ -19,9 +19,9 @@ class KMeans(Estimator):
 
     def fit(self, df: DataFrame, features: list[str]) -> KMeans:
         self.features_ = list(features)
-        # Copies of a row have numbers of their own, so that each is drawn for itself; written, so that the numbers stay.
-        rows = cut(df.select(F.array(*[ew.num(c) for c in features]).alias("x"), F.monotonically_increasing_id().alias("id")))
-        if rows.count() < self.nClusters:
+        # Equal rows are one with their number: sums, and the chances of being drawn, are those of all rows.
+        rows = cut(df.select(F.array(*[ew.num(c) for c in features]).alias("x")).groupBy("x").agg(F.count("*").alias("n")))
+        if (rows.agg(F.sum("n")).first()[0] or 0) < self.nClusters:
             raise ValueError("fewer rows than clusters")
         best = None
         given = not isinstance(self.init, str)
@@ -35,6 +35,7 @@ class KMeans(Estimator):
 
     def _start(self, rows: DataFrame, seed: int) -> np.ndarray:
         """Rows drawn by the least exponential keys, -ln(u) / weight: one pass over all rows for each centre, a few rows come back.
+        The least of n keys is one over n times the weight; the next ones of as many copies follow it by one over n - 1 times, and so on.
 
         Weights are even for random starts (all centres in one pass), and squared distances to the nearest centre so far for k-means++;
         where all of those are 0, even again.
@@ -42,23 +43,26 @@ class KMeans(Estimator):
         if self.init not in ("random", "k-means++"):
             raise ValueError(f"unknown start {self.init!r}")
 
-        def key(step: int) -> Column:
-            return -F.ln((F.shiftrightunsigned(F.xxhash64("id", F.lit(seed), F.lit(step)), 12) + 0.5) * 2.0**-52)
+        def key(step: Column) -> Column:
+            return -F.ln((F.shiftrightunsigned(F.xxhash64("x", F.lit(seed), step), 12) + 0.5) * 2.0**-52)
 
         if self.init == "random":
-            return np.array([r.x for r in rows.orderBy(key(0), "id").limit(self.nClusters).collect()], float)
-        chosen = [rows.agg(F.min_by("x", F.struct(key(0), F.col("id"))).alias("x")).first().x]
+            copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(self.nClusters)).cast("int"))))
+            keys = F.aggregate(F.sequence(F.lit(1), F.col("copy")), F.lit(0.0), lambda total, i: total + key(i) / (F.col("n") - i + 1))
+            return np.array([r.x for r in copies.orderBy(keys, "x").limit(self.nClusters).collect()], float)
+        chosen = [rows.agg(F.min_by("x", F.struct(key(F.lit(0)) / F.col("n"), F.col("x"))).alias("x")).first().x]
         while len(chosen) < self.nClusters:
             far = rows.withColumn("d", nearest(F.col("x"), np.array(chosen, float))["d"])
-            place = F.struct(F.when(F.col("d") > 0, key(len(chosen)) / F.col("d")).otherwise(ew.INF), key(len(chosen)), F.col("id"))
+            even = key(F.lit(len(chosen))) / F.col("n")
+            place = F.struct(F.when(F.col("d") > 0, even / F.col("d")).otherwise(ew.INF), even, F.col("x"))
             chosen.append(far.agg(F.min_by("x", place).alias("x")).first().x)
         return np.array(chosen, float)
 
     def _lloyd(self, rows: DataFrame, centres: np.ndarray) -> tuple[list, float, int]:
         before, f = None, centres.shape[1]
         for done in range(1, self.maxIter + 1):
-            near = rows.select("x", nearest(F.col("x"), centres).alias("near")).select("x", "near.d", "near.c")
-            sums = near.groupBy("c").agg(F.count("*").alias("n"), F.sum("d").alias("d"), *[F.sum(F.get("x", j)).alias(f"s{j}") for j in range(f)]).collect()
+            near = rows.select("x", "n", nearest(F.col("x"), centres).alias("near")).select("x", "n", "near.d", "near.c")
+            sums = near.groupBy("c").agg(F.sum("n").alias("n"), F.sum(F.col("d") * F.col("n")).alias("d"), *[F.sum(F.get("x", j) * F.col("n")).alias(f"s{j}") for j in range(f)]).collect()
             inertia = sum(r.d for r in sums)
             if before is not None and abs(before - inertia) < self.tol:
                 return centres.tolist(), inertia, done
@@ -88,12 +92,20 @@ class KMeans(Estimator):
         return -(df.agg(F.coalesce(F.sum(nearest(self._x(), np.array(self.clusterCenters_))["d"]), F.lit(0.0)).alias("s")).first().s)
 
 
+#: Differences that are written out, for which Spark makes code; more are computed in loops.
+UNROLLED = 256
+
+
 def squares(x: Column, centres: np.ndarray) -> Column:
     """Squared distances to centres, which are few and constant: no join."""
+    if centres.size <= UNROLLED:
+        return F.array(*[sum(((F.get(x, j) - float(v)) * (F.get(x, j) - float(v)) for j, v in enumerate(c)), F.lit(0.0)) for c in centres])
     each = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
     return F.transform(each, lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
 
 
 def nearest(x: Column, centres: np.ndarray) -> Column:
     """(d, c): the least squared distance and the centre's number."""
+    if centres.size <= UNROLLED:
+        return F.array_min(F.array(*[F.struct(squares(x, centres[i : i + 1])[0].alias("d"), F.lit(i).alias("c")) for i in range(len(centres))]))
     return F.array_min(F.transform(squares(x, centres), lambda d, i: F.struct(d.alias("d"), i.alias("c"))))

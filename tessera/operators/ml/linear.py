@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import elementwise as ew
+from ...plans.stage import cut, discard
 from .base import Estimator
 from .metrics import accuracyScore, r2Score
 
@@ -50,7 +51,8 @@ class LinearRegression(Estimator):
 
 
 class LogisticRegression(Estimator):
-    """Mean log loss plus |w|^2 / (2 C), minimised by Newton's method: every step is one aggregation of gradient and curvature.
+    """Mean log loss plus |w|^2 / (2 C), minimised by Newton's method: every step is one aggregation of gradient and curvature
+    over the different rows, each with its number.
 
     More than two classes are separated one against the rest; their probabilities are the softmax of the scores. Labels are any
     numbers; of two the greater is the positive one.
@@ -64,21 +66,25 @@ class LogisticRegression(Estimator):
         if not self.classes_ or len(self.classes_) > 1000:
             raise ValueError("between 1 and 1000 classes are needed")
         positive = self.classes_[1:] if len(self.classes_) == 2 else self.classes_
-        self.weights_ = [self._binary(df, c) for c in positive]
+        rows = cut(df.select(*[ew.num(c).alias(f"x{i}") for i, c in enumerate(features)], ew.num(target).alias("y")).groupBy(*[f"x{i}" for i in range(len(features))], "y").agg(F.count("*").alias("n")))
+        total = rows.agg(F.sum("n")).first()[0]
+        self.weights_ = [self._binary(rows, total, c) for c in positive]
+        discard(rows)
         self.coef_, self.intercept_ = [w[:-1] for w in self.weights_], [w[-1] for w in self.weights_]
         return self
 
-    def _binary(self, df: DataFrame, positive: float) -> list[float]:
+    def _binary(self, given: DataFrame, total: int, positive: float) -> list[float]:
         f, decay = len(self.features_), 0.0 if self.penalty in (None, "none") else 1.0 / self.C
-        x = [ew.num(c) for c in self.features_] + [F.lit(1.0)]
-        y = F.when(ew.num(self.target_) == positive, 1.0).otherwise(0.0)
+        x = [F.col(f"x{i}") for i in range(f)] + [F.lit(1.0)]
+        y = F.when(F.col("y") == positive, 1.0).otherwise(0.0)
+        mean = lambda v: F.sum(v * F.col("n")) / float(total)
         live = range(f + 1) if self.fitIntercept else range(f)
         w = np.zeros(f + 1)
         for _ in range(self.maxIter):
-            p = ew.sigmoid(_weighted(self.features_, w[:f], w[f]))
-            rows = df.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], p.alias("p"), y.alias("y"))
+            p = ew.sigmoid(_weighted([f"x{i}" for i in range(f)], w[:f], w[f]))
+            rows = given.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], p.alias("p"), y.alias("y"), "n")
             curve = F.col("p") * (1 - F.col("p"))
-            sums = rows.agg(*[F.avg((F.col("p") - F.col("y")) * F.col(f"x{i}")).alias(f"g{i}") for i in live], *[F.avg(curve * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i in live for j in live if i <= j]).first()
+            sums = rows.agg(*[mean((F.col("p") - F.col("y")) * F.col(f"x{i}")).alias(f"g{i}") for i in live], *[mean(curve * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i in live for j in live if i <= j]).first()
             g = np.array([sums[f"g{i}"] + (decay * w[i] if i < f else 0.0) for i in live])
             h = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] for j in live] for i in live]) + np.diag([decay if i < f else 0.0 for i in live])
             step = np.linalg.lstsq(h + 1e-12 * np.eye(len(g)), g, rcond=None)[0]

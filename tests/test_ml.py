@@ -159,3 +159,31 @@ def test_splits(frame):
 def test_mlp_of_too_many_classes(spark):
     with pytest.raises(ValueError, match="1000 classes"):
         MLPClassifier(maxIter=1, hiddenLayerSizes=(1,)).fit(spark.range(1002).selectExpr("double(id) as a", "double(id) as k"), ["a"], "k")
+
+
+def test_passes_over_different_rows(spark, monkeypatch):
+    """3,000 rows of 5 kinds: what is passed over again and again has a row for each kind, and the fit is that of all rows."""
+    from tessera.operators.ml import cluster, linear, mlp
+    from tessera.plans.stage import cut
+
+    rows = [(float(i % 3), float(i % 3 > 0 if i % 10 else i % 2)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, k double").repartition(4)
+    seen = []
+
+    def counted(frame):
+        out = cut(frame)
+        seen.append(out.count())
+        return out
+
+    for module in (cluster, linear, mlp):
+        monkeypatch.setattr(module, "cut", counted, raising=False)
+    m = KMeans(nClusters=3, nInit=3, randomState=1).fit(df, ["a"])
+    assert sorted(c[0] for c in m.clusterCenters_) == [0.0, 1.0, 2.0] and m.inertia_ == 0
+    fitted = LogisticRegression(penalty=None, tol=1e-8).fit(df, ["a"], "k")
+    # At the optimum the probabilities add up to the ones.
+    assert fitted.predictProba(df).agg(F.sum(F.col("probability")[1])).first()[0] == pytest.approx(sum(k for _, k in rows), abs=1e-3)
+    net = MLPClassifier(hiddenLayerSizes=(4,), learningRateInit=0.05, maxIter=40, randomState=2).fit(df, ["a"], "k")
+    few = net.lossCurve_
+    assert seen == [3, len(set(rows)), len(set(rows))]
+    monkeypatch.setattr(mlp, "FEW", 0)
+    assert np.allclose(MLPClassifier(hiddenLayerSizes=(4,), learningRateInit=0.05, maxIter=5, randomState=2).fit(df, ["a"], "k").lossCurve_, few[:5], rtol=1e-12)
