@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from tessera.llm import common
 from tessera.llm.common import components
 
 
@@ -28,3 +29,17 @@ def test_components(spark, kind):
     edges = [(a, b) for a, b in edges if a != b]
     got = components(spark.createDataFrame([*edges, *edges[:3], (5, 5), (None, 4)], "u long, v long"))
     assert {x.node: x.root for x in got.collect()} == brute(edges)
+
+
+@pytest.mark.parametrize(("n", "slots"), [(0, 1 << 12), (1, 1 << 12), (5000, 1 << 12), (5000, 1)])
+def test_among(spark, monkeypatch, n, slots):
+    """No key is missed, few others pass unless the bitmap is at its limit, and no row is lost or doubled."""
+    monkeypatch.setattr(common, "SLOTS", slots)
+    r = random.Random(2)
+    every = [r.randrange(-(1 << 63), 1 << 63) for _ in range(20000)]
+    keys = spark.createDataFrame([(x,) for x in every[:n]], "t long")
+    got = common.among(spark.createDataFrame([(x, i) for i, x in enumerate(every)], "t long, i long"), keys, "t").collect()
+    assert sorted(x.i for x in got) == list(range(20000)) and all(every[x.i] == x.t for x in got)
+    assert all(x.among for x in got if x.i < n)
+    others = sum(x.among for x in got if x.i >= n) / (20000 - n)
+    assert others <= (0.08 if slots > 1 or n < 2 else 0.2)
