@@ -125,3 +125,38 @@ def test_signs_of_zeros_in_binary_math(spark, tmp_path):
     assert texts(got) == texts(want.fetchall())
     zeros = spark.createDataFrame([(-7.0, 7.0), (7.0, -7.0), (-0.0, 7.0), (0.0, -7.0)], "a double, b double").select(ew.mod("a", "b").alias("v"))
     assert [math.copysign(1, x.v) for x in zeros.collect()] == [1, -1, 1, -1]
+
+
+def test_binary_math_of_other_doubles(spark, tmp_path):
+    """Discounts that round to -0, and products whose binary and decimal roundings differ, against the query's SQL as text; powers, which
+    libraries give to the last bit or one beside it, to a few units of it."""
+    import random
+
+    import duckdb
+
+    from tessera import queries
+
+    r = random.Random(1)
+    pairs = [(25.0, d) for d in (0.0451, 0.0499, 0.05, 0.0501, 0.045, 0.055)] + [(q, d) for q in (24.0, 26.0, 24.99, 25.01) for d in (0.0451, 0.0499, 0.0, 0.1)]
+    pairs += [(round(r.uniform(1, 51), 2), r.uniform(0, 0.1)) for _ in range(3000)]
+    rows = [(i, i % 7, i, i, 1.0 * i, q, d) for i, (q, d) in enumerate(pairs)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view lineitem as select * from read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = db.execute(queries.SQL["binary_math"])
+    columns = [c[0] for c in want.description]
+    got, want = sorted(queries.binary_math(spark, str(tmp_path)).select(*columns).collect()), sorted(want.fetchall())
+    k = columns.index("power")
+    texts = lambda found: [tuple("nan" if v != v else str(v) for v in (*x[:k], *x[k + 1 :])) for x in found]
+    assert texts(got) == texts(want)
+    assert all(abs(x[k] - y[k]) <= 2e-15 * abs(y[k]) + 1e-9 for x, y in zip(got, want, strict=True))
+
+
+def test_signed_rounds_in_binary(spark):
+    from tessera import queries
+
+    rows = [(0.4999999999999999, 0.0), (0.5, 1.0), (-0.5, -1.0), (2.5, 3.0), (-0.3, -0.0), (-0.0, -0.0), (0.0, 0.0), (1e300, 1e300), (-1e18, -1e18), (math.inf, math.inf), (-math.inf, -math.inf), (4503599627370497.0, 4503599627370497.0)]
+    got = spark.createDataFrame(rows, "x double, y double").select(queries.signed(F.col("x"), 0).alias("v"), "y").collect()
+    assert [(x.v, math.copysign(1, x.v)) for x in got] == [(x.y, math.copysign(1, x.y)) for x in got]
+    nan, huge = spark.createDataFrame([(math.nan,), (1e308,)], "x double").select(queries.signed(F.col("x")).alias("v")).collect()
+    assert math.isnan(nan.v) and huge.v == 1e308
